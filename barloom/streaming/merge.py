@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +40,13 @@ def merge_batch(batch: DataFrame, bars_root: str) -> None:
 
     A replayed batch finds its own rows already stored and changes nothing.
     """
-    spark = batch.sparkSession
     fresh = conform(batch)
-    if _has_rows(spark, bars_root):
-        stored = bars_in_partitions(spark, bars_root, touched_months(fresh))
-        fresh = stored.unionByName(fresh)
-    write_bars(merge_runs(fresh), bars_root)
-
-
-def _has_rows(spark: SparkSession, root: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(system.exists(path))
+    try:
+        stored = bars_in_partitions(batch.sparkSession, bars_root, touched_months(fresh))
+    except AnalysisException:  # the first batch finds no table yet
+        write_bars(merge_runs(fresh), bars_root)
+        return
+    write_bars(merge_runs(stored.unionByName(fresh)), bars_root)
 
 
 def start_merge(

@@ -255,3 +255,90 @@ def ticker_types(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("us").alias("locale"),
         )
     )
+
+
+def daily_from_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """A daily track for the event types that stopped on the 20th."""
+    bars = minute_bars(spark, sf).filter(F.dayofmonth("window_start") <= 20)
+    return bars.groupBy("instrument_key", F.to_date("window_start").alias("d")).agg(
+        F.count("*").alias("n")
+    ).select(
+        "instrument_key",
+        F.lit("1day").alias("resolution"),
+        F.col("d").cast("timestamp_ntz").alias("window_start"),
+    )
+
+
+def all_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, resolutions and times of every bar held."""
+    columns = ["instrument_key", "resolution", "window_start"]
+    return (
+        minute_bars(spark, sf)
+        .select(*columns)
+        .unionByName(daily_bars(spark, sf).select(*columns))
+        .unionByName(daily_from_minutes(spark, sf))
+    )
+
+
+def contract_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Contract listings of every day with data; every other one lacks the tick size."""
+    days = (
+        table(spark, sf, "events")
+        .select(F.upper("event_type").alias("product_code"), F.to_date("ts").alias("date"))
+        .groupBy("product_code", "date")
+        .agg(F.count("*").alias("n"))
+        .withColumn("week", F.trunc("date", "week").cast("date"))
+    )
+    listed = contracts(spark, sf).drop("date", "trade_tick_size")
+    tick = F.when(F.col("n") % 2 == 0, F.length("product_code") / 100)
+    return (
+        days.join(listed.withColumnRenamed("product_code", "_p"),
+                  (F.col("product_code") == F.col("_p"))
+                  & (F.date_sub("last_trade_date", 11) == F.col("week")))
+        .withColumn("trade_tick_size", tick)
+        .drop("_p", "n", "week")
+    )
+
+
+def universes(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
+    """All brands (or line numbers) as one universe, and one universe per part of them."""
+    if by == "p_brand":
+        symbols = table(spark, sf, "part").select(F.col("p_brand").alias("symbol")).distinct()
+    else:
+        symbols = table(spark, sf, "lineitem").select(
+            F.col(by).cast("string").alias("symbol")
+        ).distinct()
+    key = F.concat(F.lit("stocks:"), F.col("symbol")).alias("instrument_key")
+    half = F.concat(F.lit("half-"), (F.length("symbol") + F.ascii(F.right("symbol", F.lit(1)))) % 2)
+    whole = symbols.select(F.lit("all").alias("universe"), key, "symbol")
+    return whole.unionByName(symbols.select(half.alias("universe"), key, "symbol"))
+
+
+def overlay_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Backtests, transactions and orders from the orders table, one backtest per priority."""
+    orders = table(spark, sf, "orders")
+    backtest = F.concat(F.lit("bt-"), F.substring("o_orderpriority", 1, 1))
+    side = F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy")
+    transactions = orders.select(
+        backtest.alias("backtest_id"),
+        F.col("o_orderdate").alias("time"),
+        F.col("o_totalprice").alias("price"),
+        side.alias("side"),
+        F.col("o_orderstatus").alias("kind"),
+    )
+    placed = orders.select(
+        backtest.alias("backtest_id"),
+        F.col("o_orderdate").alias("time_from"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("time_to"),
+        F.col("o_totalprice").alias("price"),
+        side.alias("side"),
+        F.lit("limit").alias("order_type"),
+    )
+    backtests = orders.select(
+        F.concat(F.lit("run-"), F.year("o_orderdate")).alias("stem"),
+        backtest.alias("backtest_id"),
+        F.when(F.col("o_orderstatus") == "O", "").otherwise(
+            F.concat(F.lit("stocks:"), F.col("o_orderstatus"))
+        ).alias("instrument"),
+    )
+    return backtests, transactions, placed
