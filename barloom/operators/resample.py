@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions.clock import clock_seconds, wall_to_utc
 from barloom.operators.lookup import lookup_join
 from barloom.schema import DAY, KEY, MINUTE, VOLUMES
+from barloom.session import materialize
 
 # Time-scale units and what one of them means on its base track.
 UNITS = {"min": (MINUTE, 1), "hour": (MINUTE, 60), "day": (DAY, 1), "week": (DAY, 7)}
@@ -138,7 +139,8 @@ def resample_days(
 
     Every bucket with a bar is kept, except a last one whose calendar window
     the data have not yet covered. ``bounds`` (first and last session per
-    instrument, e.g. from the manifest) saves one pass over two columns.
+    instrument, e.g. from the manifest) saves a pass over two columns; without
+    it they are computed and written once.
     """
     if k_days < 1:
         raise ValueError(f"k_days must be at least 1, got {k_days}")
@@ -146,7 +148,7 @@ def resample_days(
         return _counted(bars)
     if week_aligned and k_days % 7:
         raise ValueError(f"week alignment needs a multiple of 7 days, got {k_days}")
-    bounds = session_bounds(bars) if bounds is None else bounds
+    bounds = materialize(session_bounds(bars), "session-bounds") if bounds is None else bounds
     day = F.col("session_end_date")
     anchor = F.col("first_date")
     if week_aligned:

@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 from barloom.functions.clock import clock_seconds
 from barloom.operators.adjust import adjust_dividends, adjust_splits
-from barloom.operators.filters import Bound, filter_intraday, filter_range, first_bars, select_columns
-from barloom.operators.resample import parse_timescale, resample_days, resample_minutes
+from barloom.operators.filters import (
+    Bound,
+    filter_intraday,
+    filter_range,
+    first_bars,
+    select_columns,
+)
+from barloom.operators.resample import (
+    parse_timescale,
+    resample_days,
+    resample_minutes,
+    session_bounds,
+)
 from barloom.operators.roll import adjust_rolls, dedupe_timestamps
 from barloom.operators.ticks import normalize_ticks, tick_quality
 from barloom.schema import DAY, KEY, MINUTE
+from barloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -69,6 +81,12 @@ def _adjusted(
     return bars
 
 
+def _in_range(bars: DataFrame, query: BarQuery, resolution: str) -> DataFrame:
+    if "resolution" in bars.columns:
+        bars = bars.filter(F.col("resolution") == resolution)
+    return filter_range(bars, query.start, query.end)
+
+
 def before_quality(
     bars: DataFrame,
     query: BarQuery,
@@ -79,9 +97,7 @@ def before_quality(
 ) -> DataFrame:
     """Track, range, adjustment and intraday filter: the rows the tick check looks at."""
     resolution = query.check(has_chain=chain is not None)["resolution"]
-    if "resolution" in bars.columns:
-        bars = bars.filter(F.col("resolution") == resolution)
-    bars = filter_range(bars, query.start, query.end)
+    bars = _in_range(bars, query, resolution)
     bars = _adjusted(bars, query, resolution, splits, dividends, chain)
     if resolution == MINUTE and query.begin is not None and query.finish is not None:
         bars = filter_intraday(bars, query.begin, query.finish, query.timezone)
@@ -107,7 +123,11 @@ def query_bars(
     if query.normalize_ticks:
         rows = normalize_ticks(rows, chain)
     if scale["resolution"] == DAY and scale["k_days"] > 1:
-        rows = resample_days(rows, scale["k_days"], week_aligned=scale["week_aligned"])
+        # Adjusting and folding duplicates leave every instrument's first and last day alone.
+        bounds = materialize(session_bounds(_in_range(bars, query, DAY)), "session-bounds")
+        rows = resample_days(
+            rows, scale["k_days"], week_aligned=scale["week_aligned"], bounds=bounds
+        )
     elif scale["k_minutes"] > 1:
         rows = resample_minutes(
             rows, scale["k_minutes"], begin=query.begin, end=query.finish,

@@ -10,6 +10,7 @@ from barloom.operators.panel import panel_closes, periods_per_year, price_panel,
 from barloom.operators.portfolio import candidates, performance
 from barloom.operators.risk import asset_stats, covariance_matrix, pair_moments, regularized
 from barloom.schema import MIN_COVERAGE, SAMPLES, SEED
+from barloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -39,15 +40,19 @@ def study(
     seed: int = SEED,
     **bounds,
 ) -> Research:
-    """Panel, returns, statistics, covariance, candidate weights and their performance."""
+    """Panel, returns, statistics, covariance, candidate weights and their performance.
+
+    Closes, returns and pair moments feed several steps each; they are written
+    once, so the bars are read a single time.
+    """
     closes = panel_closes(
         bars, universes, splits=splits, dividends=dividends, timescale=timescale, **bounds
     )
-    panel = price_panel(closes, universes, min_coverage)
-    rets = returns(panel, kind)
+    panel = price_panel(materialize(closes, "closes"), universes, min_coverage)
+    rets = materialize(returns(panel, kind), "returns")
     periods = periods_per_year(timescale)
     stats = asset_stats(rets, periods, risk_free_rate)
-    moments = pair_moments(rets)
+    moments = materialize(pair_moments(rets), "moments")
     cov = regularized(covariance_matrix(moments, periods))
     symbols = stats.select("universe", "symbol")
     weights = candidates(

@@ -165,36 +165,39 @@ def contract_bars(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def splits(spark: SparkSession, sf: str) -> DataFrame:
-    """One split per brand and year: on its last day, ratio from the number of lines."""
-    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def _lines(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    """Line items with the instrument key of a part column or of their own column."""
+    lines = table(spark, sf, "lineitem")
+    if by.startswith("p_"):
+        parts = table(spark, sf, "part").select("p_partkey", by)
+        lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    return lines.withColumn("instrument_key", F.concat(F.lit("stocks:"), F.col(by)))
+
+
+def splits(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
+    """One split per symbol and year: on its last day, ratio from the number of lines."""
     return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .groupBy("p_brand", F.year("l_shipdate").alias("year"))
+        _lines(spark, sf, by)
+        .groupBy("instrument_key", F.year("l_shipdate").alias("year"))
         .agg(F.max(F.to_date("l_shipdate")).alias("execution_date"), F.count("*").alias("n"))
         .select(
-            F.concat(F.lit("stocks:"), F.col("p_brand")).alias("instrument_key"),
+            "instrument_key",
             "execution_date",
             (F.lit(1) + F.col("n") % 3).cast("double").alias("split_ratio"),
         )
     )
 
 
-def dividends(spark: SparkSession, sf: str) -> DataFrame:
-    """One dividend per brand and quarter: on its first day, amount from the quantities."""
-    lines, parts = table(spark, sf, "lineitem"), table(spark, sf, "part")
+def dividends(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
+    """One dividend per symbol and quarter: on its first day, amount from the quantities."""
     return (
-        lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .groupBy("p_brand", F.date_trunc("quarter", "l_shipdate").alias("quarter"))
+        _lines(spark, sf, by)
+        .groupBy("instrument_key", F.date_trunc("quarter", "l_shipdate").alias("quarter"))
         .agg(
             F.min(F.to_date("l_shipdate")).alias("ex_dividend_date"),
             F.max("l_quantity").alias("amount"),
         )
-        .select(
-            F.concat(F.lit("stocks:"), F.col("p_brand")).alias("instrument_key"),
-            "ex_dividend_date",
-            "amount",
-        )
+        .drop("quarter")
     )
 
 

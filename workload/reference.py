@@ -477,9 +477,9 @@ query(
 )
 query(
     "search_exact",
-    lambda s, sf: tickers.search_tickers(_listing(s, sf), ticker="i:b3x8"),
+    lambda s, sf: tickers.search_tickers(_listing(s, sf), ticker="c:b12x5"),
     "ticker name market",
-    None,
+    with_tables("SELECT * FROM tickers WHERE upper(ticker) = 'B12X5'", "tickers"),
 )
 query(
     "describe_types",

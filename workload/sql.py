@@ -129,49 +129,6 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "db": (["lp"], ""),  # filled below
     "dl": ([], ""),
-    "splits": (
-        ["lp"],
-        """
-        SELECT 'stocks:' || p_brand AS instrument_key,
-               CAST(max(l_shipdate) AS DATE) AS execution_date,
-               CAST(1 + count(*) % 3 AS DOUBLE) AS split_ratio
-        FROM lp GROUP BY p_brand, year(l_shipdate)
-        """,
-    ),
-    "sf": (
-        ["splits"],
-        """
-        SELECT *, product(1.0 / split_ratio) OVER (
-                    PARTITION BY instrument_key ORDER BY execution_date DESC
-                    ROWS UNBOUNDED PRECEDING) AS factor FROM splits
-        """,
-    ),
-    "dividends": (
-        ["lp"],
-        """
-        SELECT 'stocks:' || p_brand AS instrument_key,
-               CAST(min(l_shipdate) AS DATE) AS ex_dividend_date, max(l_quantity) AS amount
-        FROM lp GROUP BY p_brand, date_trunc('quarter', l_shipdate)
-        """,
-    ),
-    "prev_closes": (
-        ["dividends", "db"],
-        """
-        SELECT d.*, b.close AS prev_close
-        FROM dividends d ASOF LEFT JOIN db b
-          ON d.instrument_key = b.instrument_key AND d.ex_dividend_date > b.session_end_date
-        """,
-    ),
-    "df": (
-        ["prev_closes"],
-        """
-        SELECT *, product(CASE WHEN prev_close > 0 AND amount > 0
-                                AND 1 - amount / prev_close > 0 AND 1 - amount / prev_close <= 1
-                               THEN 1 - amount / prev_close ELSE 1 END) OVER (
-                    PARTITION BY instrument_key ORDER BY ex_dividend_date DESC
-                    ROWS UNBOUNDED PRECEDING) AS factor FROM prev_closes
-        """,
-    ),
     "instruments": (
         [],
         """
@@ -207,21 +164,6 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM part GROUP BY p_type
         """,
     ),
-    "held": (
-        ["mb", "db"],
-        """
-        SELECT *, DATE '2024-02-03' - max_date AS lag_days,
-               DATE '2024-02-03' - max_date
-                 > CASE resolution WHEN '1min' THEN 3 ELSE 5 END AS stale
-        FROM (
-          SELECT instrument_key, resolution, count(*) AS rows,
-                 CAST(min(window_start) AS DATE) AS min_date,
-                 CAST(max(window_start) AS DATE) AS max_date
-          FROM (SELECT instrument_key, resolution, window_start FROM mb
-                UNION ALL SELECT instrument_key, resolution, window_start FROM db)
-          GROUP BY 1, 2)
-        """,
-    ),
     "grid": (
         ["instruments"],
         """
@@ -267,6 +209,60 @@ CTES["db"] = (["lp"], daily("p_brand", "lp"))
 CTES["dl"] = ([], daily("l_linenumber", "lineitem"))
 
 
+def _actions(symbol: str, source: str, needs: list[str], bars: str, suffix: str) -> dict:
+    """Splits and dividends with their cumulative factors, per symbol column."""
+    key = f"'stocks:' || {symbol}"
+    return {
+        f"splits{suffix}": (
+            needs,
+            f"""
+            SELECT {key} AS instrument_key, CAST(max(l_shipdate) AS DATE) AS execution_date,
+                   CAST(1 + count(*) % 3 AS DOUBLE) AS split_ratio
+            FROM {source} GROUP BY {symbol}, year(l_shipdate)
+            """,
+        ),
+        f"sf{suffix}": (
+            [f"splits{suffix}"],
+            f"""
+            SELECT *, product(1.0 / split_ratio) OVER (
+                        PARTITION BY instrument_key ORDER BY execution_date DESC
+                        ROWS UNBOUNDED PRECEDING) AS factor FROM splits{suffix}
+            """,
+        ),
+        f"dividends{suffix}": (
+            needs,
+            f"""
+            SELECT {key} AS instrument_key, CAST(min(l_shipdate) AS DATE) AS ex_dividend_date,
+                   max(l_quantity) AS amount
+            FROM {source} GROUP BY {symbol}, date_trunc('quarter', l_shipdate)
+            """,
+        ),
+        f"prev_closes{suffix}": (
+            [f"dividends{suffix}", bars],
+            f"""
+            SELECT d.*, b.close AS prev_close
+            FROM dividends{suffix} d ASOF LEFT JOIN {bars} b
+              ON d.instrument_key = b.instrument_key AND d.ex_dividend_date > b.session_end_date
+            """,
+        ),
+        f"df{suffix}": (
+            [f"prev_closes{suffix}"],
+            f"""
+            SELECT *, product(CASE WHEN prev_close > 0 AND amount > 0
+                                    AND 1 - amount / prev_close > 0
+                                    AND 1 - amount / prev_close <= 1
+                                   THEN 1 - amount / prev_close ELSE 1 END) OVER (
+                        PARTITION BY instrument_key ORDER BY ex_dividend_date DESC
+                        ROWS UNBOUNDED PRECEDING) AS factor FROM prev_closes{suffix}
+            """,
+        ),
+    }
+
+
+CTES.update(_actions("p_brand", "lp", ["lp"], "db", ""))
+CTES.update(_actions("l_linenumber", "lineitem", [], "dl", "l"))
+
+
 def with_tables(body: str, *needed: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause of the needed tables and what they need, then the query."""
     order: list[str] = []
