@@ -63,7 +63,6 @@ def _day(text: str) -> Column:
 def futures_bars(payloads: DataFrame) -> DataFrame:
     """Futures bars: epoch nanoseconds and ISO session dates; keyed by product."""
     rows = _results(payloads, FUTURES_BAR, ["product_code"])
-    nanos = F.col("window_start").cast("bigint")
     return rows.withColumns(
         {
             "window_start": _epoch(F.expr("CAST(window_start AS BIGINT) DIV 1000")),
@@ -74,7 +73,7 @@ def futures_bars(payloads: DataFrame) -> DataFrame:
             "symbol": F.col("product_code"),
             KEY: instrument_key(F.lit("futures"), F.col("product_code")),
         }
-    ).filter(nanos.isNotNull())
+    ).filter("window_start IS NOT NULL")
 
 
 def v2_bars(payloads: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def landed_runs(spark: SparkSession, root: str, files_per_batch: int | None = No
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(f"{root}/run_id=*")
+    rows = reader.parquet(root)
     return (
         rows.withColumn("run_id", F.regexp_extract("_metadata.file_path", RUN_PATTERN, 1))
         .withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))

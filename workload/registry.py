@@ -41,6 +41,6 @@ def query(name: str, build: Build, spec: str, sql: str | None = None) -> None:
 
 def registered() -> dict[str, Query]:
     """All queries; importing the modules registers them."""
-    from workload import bars, portfolio, reference  # noqa: F401
+    from workload import bars, portfolio, reference, storage  # noqa: F401
 
     return REGISTERED
