@@ -74,35 +74,31 @@ def _model(stats: DataFrame, cov: DataFrame) -> DataFrame:
     return rows.join(stats.select("universe", "symbol", "mean_ann"), ["universe", "symbol"])
 
 
-def _matrices(model: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    model = model.sort_values("symbol")
-    return (
-        model["symbol"].to_numpy(),
-        model["mean_ann"].to_numpy(dtype=float),
-        np.vstack(model["row"].to_numpy()).astype(float),
-    )
-
+# The task functions below are closures, so that executors need not have this package.
+
+
+def _evaluate():
+    def moments(weights: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        """Mean and volatility of a chunk of portfolios as one matrix product."""
+        if weights.empty or model.empty:
+            return pd.DataFrame(columns=["universe", "portfolio_id", "mean_ann", "vol_ann"])
+        model = model.sort_values("symbol").set_index("symbol")
+        cov = np.vstack(model["row"].to_numpy()).astype(float)
+        table = weights.pivot_table(
+            index="portfolio_id", columns="symbol", values="weight", aggfunc="sum"
+        )
+        matrix = table.reindex(columns=model.index).fillna(0.0).to_numpy()
+        variance = np.einsum("ij,ij->i", matrix @ cov, matrix)
+        return pd.DataFrame(
+            {
+                "universe": weights["universe"].iloc[0],
+                "portfolio_id": table.index,
+                "mean_ann": matrix @ model["mean_ann"].to_numpy(dtype=float),
+                "vol_ann": np.sqrt(np.maximum(variance, 0.0)),
+            }
+        )
 
-def _moments(weights: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    if weights.empty or model.empty:
-        return pd.DataFrame(columns=["universe", "portfolio_id", "mean_ann", "vol_ann"])
-    symbols, mean, cov = _matrices(model)
-    ids, row = np.unique(weights["portfolio_id"].to_numpy(), return_inverse=True)
-    place = np.searchsorted(symbols, weights["symbol"].to_numpy())
-    known = (place < len(symbols)) & (
-        symbols[np.minimum(place, len(symbols) - 1)] == weights["symbol"].to_numpy()
-    )
-    matrix = np.zeros((len(ids), len(symbols)))
-    np.add.at(matrix, (row[known], place[known]), weights["weight"].to_numpy()[known])
-    variance = np.einsum("ij,ij->i", matrix @ cov, matrix)
-    return pd.DataFrame(
-        {
-            "universe": weights["universe"].iloc[0],
-            "portfolio_id": ids,
-            "mean_ann": matrix @ mean,
-            "vol_ann": np.sqrt(np.maximum(variance, 0.0)),
-        }
-    )
+    return moments
 
 
 def performance(
@@ -132,7 +128,7 @@ def performance(
         projected.withColumn("_chunk", chunk)
         .groupBy("universe", "_chunk")
         .cogroup(model.groupBy("universe", "_chunk"))
-        .applyInPandas(_moments, MOMENTS)
+        .applyInPandas(_evaluate(), MOMENTS)
     )
     return with_sharpe(moments, risk_free_rate)
 
@@ -152,12 +148,12 @@ def analytic_weights(
     """
 
     def solve(key: tuple, model: pd.DataFrame) -> pd.DataFrame:
-        symbols, mean, matrix = _matrices(model)
+        model = model.sort_values("symbol")
+        symbols = model["symbol"].to_numpy()
+        matrix = np.vstack(model["row"].to_numpy()).astype(float)
+        excess = model["mean_ann"].to_numpy(dtype=float) - risk_free_rate
         frames = []
-        for name, right in (
-            ("min-var", np.ones(len(symbols))),
-            ("tangency", mean - risk_free_rate),
-        ):
+        for name, right in (("min-var", np.ones(len(symbols))), ("tangency", excess)):
             try:
                 raw = np.linalg.solve(matrix, right)
             except np.linalg.LinAlgError:

@@ -32,33 +32,38 @@ def asset_stats(
     )
 
 
-def _block_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Moments between the symbols of two blocks, from their return series."""
-    universe, left, right = key
-    matrix = np.vstack(rows["series"].to_numpy())
-    centred = matrix - matrix.mean(axis=1, keepdims=True)
-    n = matrix.shape[1]
-    scale = np.sqrt((centred**2).sum(axis=1))
-    block = rows["block"].to_numpy()
-    first, second = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    product = centred[first] @ centred[second].T
-    norm = np.outer(scale[first], scale[second])
-    corr = np.divide(product, norm, out=np.full_like(product, np.nan), where=norm > 0)
-    names = rows["symbol"].to_numpy()
-    out = pd.DataFrame(
-        {
-            "universe": universe,
-            "symbol_a": np.repeat(names[first], len(second)),
-            "symbol_b": np.tile(names[second], len(first)),
-            "cov": (product / (n - 1)).ravel(),
-            "corr": corr.ravel(),
-            "n_obs": n,
-        }
-    )
-    if left == right:
-        return out
-    mirrored = out.rename(columns={"symbol_a": "symbol_b", "symbol_b": "symbol_a"})
-    return pd.concat([out, mirrored[out.columns]], ignore_index=True)
+def _block_moments():
+    """Task function as a closure, so that executors need not have this package."""
+
+    def block_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Moments between the symbols of two blocks, from their return series."""
+        universe, left, right = key
+        matrix = np.vstack(rows["series"].to_numpy())
+        centred = matrix - matrix.mean(axis=1, keepdims=True)
+        n = matrix.shape[1]
+        scale = np.sqrt((centred**2).sum(axis=1))
+        block = rows["block"].to_numpy()
+        first, second = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        product = centred[first] @ centred[second].T
+        norm = np.outer(scale[first], scale[second])
+        corr = np.divide(product, norm, out=np.full_like(product, np.nan), where=norm > 0)
+        names = rows["symbol"].to_numpy()
+        out = pd.DataFrame(
+            {
+                "universe": universe,
+                "symbol_a": np.repeat(names[first], len(second)),
+                "symbol_b": np.tile(names[second], len(first)),
+                "cov": (product / (n - 1)).ravel(),
+                "corr": corr.ravel(),
+                "n_obs": n,
+            }
+        )
+        if left == right:
+            return out
+        mirrored = out.rename(columns={"symbol_a": "symbol_b", "symbol_b": "symbol_a"})
+        return pd.concat([out, mirrored[out.columns]], ignore_index=True)
+
+    return block_pair
 
 
 def pair_moments(rets: DataFrame, symbols_per_block: int = SYMBOLS_PER_BLOCK) -> DataFrame:
@@ -91,7 +96,7 @@ def pair_moments(rets: DataFrame, symbols_per_block: int = SYMBOLS_PER_BLOCK) ->
         F.greatest("block", "_other").alias("right"),
         "series",
     )
-    return copies.groupBy("universe", "left", "right").applyInPandas(_block_pair, PAIRS)
+    return copies.groupBy("universe", "left", "right").applyInPandas(_block_moments(), PAIRS)
 
 
 def covariance_matrix(moments: DataFrame, periods: float | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.operators import adjust, filters, merge, resample, roll, ticks
 from barloom.plans.bar_query import BarQuery, query_bars, query_quality
+from barloom.session import materialize
 from workload import derive as d
 from workload import sql
 from workload.registry import query
@@ -19,16 +20,21 @@ def _merged(spark, sf):
     return merge.merge_runs(d.runs(spark, sf))
 
 
+# Chains and actions are stored tables of their own; they are written once per query.
+
+
 def _chain(spark, sf):
-    return roll.roll_chain(d.contracts(spark, sf))
+    return materialize(roll.roll_chain(d.contracts(spark, sf)), "chain")
 
 
 def _split_factors(spark, sf):
-    return adjust.split_factors(d.splits(spark, sf))
+    return materialize(adjust.split_factors(d.splits(spark, sf)), "splits")
 
 
 def _dividend_factors(spark, sf):
-    return adjust.dividend_factors(d.dividends(spark, sf), d.daily_bars(spark, sf))
+    dividends = materialize(d.dividends(spark, sf), "ex-dates")
+    factors = adjust.dividend_factors(dividends, d.daily_bars(spark, sf))
+    return materialize(factors, "dividends")
 
 
 # --- merge ---------------------------------------------------------------------------------
@@ -258,21 +264,23 @@ query(
 
 query(
     "split_factors",
-    _split_factors,
+    lambda s, sf: adjust.split_factors(d.splits(s, sf)),
     "instrument_key execution_date:s split_ratio historical_adjustment_factor:10",
     with_tables("SELECT *, factor AS historical_adjustment_factor FROM sf", "sf"),
 )
 query(
     "previous_close",
     lambda s, sf: adjust.previous_close(
-        d.dividends(s, sf), d.daily_bars(s, sf), "ex_dividend_date"
+        materialize(d.dividends(s, sf), "ex-dates"), d.daily_bars(s, sf), "ex_dividend_date"
     ),
     "instrument_key ex_dividend_date:s prev_close:6",
     with_tables("SELECT * FROM prev_closes", "prev_closes"),
 )
 query(
     "dividend_factors",
-    _dividend_factors,
+    lambda s, sf: adjust.dividend_factors(
+        materialize(d.dividends(s, sf), "ex-dates"), d.daily_bars(s, sf)
+    ),
     "instrument_key ex_dividend_date:s amount historical_adjustment_factor:10",
     with_tables("SELECT *, factor AS historical_adjustment_factor FROM df", "df"),
 )

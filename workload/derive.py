@@ -64,17 +64,16 @@ def daily_bars(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
     if by.startswith("p_"):
         parts = table(spark, sf, "part").select("p_partkey", by)
         lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
-    arrival = F.struct(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
+    # A number rather than a struct: fixed-width buffers keep the aggregation hash-based.
+    arrival = F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_extendedprice") / 1e6
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return (
         lines.groupBy(F.col(by).cast("string").alias("symbol"), "l_shipdate")
         .agg(
-            F.min(arrival).alias("_first"),
+            F.min_by(price, arrival).alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max(arrival).alias("_last"),
+            F.max_by(price, arrival).alias("close"),
             F.sum(F.col("l_quantity").cast("bigint")).alias("volume"),
             F.count("*").alias("transactions"),
         )
@@ -87,10 +86,10 @@ def daily_bars(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
             F.to_date("l_shipdate").alias("session_end_date"),
             F.col("symbol").alias("ticker"),
             F.col("symbol").alias("product_code"),
-            (F.col("_first.l_extendedprice") / F.col("_first.l_quantity")).alias("open"),
+            "open",
             "high",
             "low",
-            (F.col("_last.l_extendedprice") / F.col("_last.l_quantity")).alias("close"),
+            "close",
             "volume",
             "transactions",
         )

@@ -134,31 +134,32 @@ CHOICE = {**RISK, **WEIGHTS}
 
 
 def _universes(s, sf):
-    return d.universes(s, sf, "l_linenumber")
+    return materialize(d.universes(s, sf, "l_linenumber"), "universes")
 
 
-def _closes(s, sf):
-    closes = panel.panel_closes(d.daily_bars(s, sf, "l_linenumber"), _universes(s, sf))
-    return materialize(closes, "closes")
+def _dense_closes(s, sf):
+    members = _universes(s, sf)
+    closes = panel.panel_closes(d.daily_bars(s, sf, "l_linenumber"), members)
+    return materialize(closes, "closes"), members
 
 
 def _line_split_factors(s, sf):
-    return split_factors(d.splits(s, sf, "l_linenumber"))
+    return materialize(split_factors(d.splits(s, sf, "l_linenumber")), "splits")
 
 
 def _line_dividend_factors(s, sf):
-    return dividend_factors(
-        d.dividends(s, sf, "l_linenumber"), d.daily_bars(s, sf, "l_linenumber")
-    )
+    dividends = materialize(d.dividends(s, sf, "l_linenumber"), "ex-dates")
+    factors = dividend_factors(dividends, d.daily_bars(s, sf, "l_linenumber"))
+    return materialize(factors, "dividends")
 
 
 def _sparse_closes(s, sf):
-    closes = panel.panel_closes(d.daily_bars(s, sf), d.universes(s, sf))
-    return materialize(closes, "closes")
+    members = materialize(d.universes(s, sf), "universes")
+    return materialize(panel.panel_closes(d.daily_bars(s, sf), members), "closes"), members
 
 
 def _panel(s, sf):
-    return panel.price_panel(_closes(s, sf), _universes(s, sf))
+    return panel.price_panel(*_dense_closes(s, sf))
 
 
 def _returns(s, sf):
@@ -194,17 +195,29 @@ def on_returns(build):
     return lambda s, sf: build(materialize(_returns(s, sf), "returns"))
 
 
+def _weekly_panel(s, sf):
+    members = _universes(s, sf)
+    closes = panel.panel_closes(
+        d.daily_bars(s, sf, "l_linenumber"),
+        members,
+        splits=_line_split_factors(s, sf),
+        dividends=_line_dividend_factors(s, sf),
+        timescale="week",
+    )
+    return panel.price_panel(materialize(closes, "closes"), members, 0.8)
+
+
 # --- panel and returns ----------------------------------------------------------------------
 
 query(
     "panel_coverage",
-    lambda s, sf: panel.panel_coverage(_sparse_closes(s, sf), 0.6),
+    lambda s, sf: panel.panel_coverage(_sparse_closes(s, sf)[0], 0.6),
     "universe symbol n_obs n_dates coverage:8 kept",
     with_tables("SELECT * FROM cover", "db", extra={**SPARSE, **panel_ctes(0.6)}),
 )
 query(
     "panel_status",
-    lambda s, sf: panel.panel_status(_sparse_closes(s, sf), d.universes(s, sf), 0.6),
+    lambda s, sf: panel.panel_status(*_sparse_closes(s, sf), 0.6),
     "universe n_kept n_dates n_dropped status",
     with_tables(
         """
@@ -228,20 +241,7 @@ query(
 )
 query(
     "price_panel_weekly_adjusted",
-    lambda s, sf: panel.price_panel(
-        materialize(
-            panel.panel_closes(
-                d.daily_bars(s, sf, "l_linenumber"),
-                _universes(s, sf),
-                splits=_line_split_factors(s, sf),
-                dividends=_line_dividend_factors(s, sf),
-                timescale="week",
-            ),
-            "closes",
-        ),
-        _universes(s, sf),
-        0.8,
-    ),
+    _weekly_panel,
     "universe symbol date:s close:6",
     with_tables(
         "SELECT * FROM panel",
@@ -547,7 +547,7 @@ def _basket_weights(s, sf):
     absent = legs.groupBy("basket").agg(F.max("weight").alias("weight")).select(
         "basket", F.lit("stocks:none").alias("instrument_key"), "weight"
     )
-    return legs.unionByName(absent)
+    return materialize(legs.unionByName(absent), "basket-weights")
 
 
 BASKET = {
@@ -589,7 +589,10 @@ query(
 query(
     "basket_weeks",
     lambda s, sf: resample.resample_days(
-        basket.basket_bars(d.daily_bars(s, sf, "l_linenumber"), _basket_weights(s, sf)),
+        materialize(
+            basket.basket_bars(d.daily_bars(s, sf, "l_linenumber"), _basket_weights(s, sf)),
+            "basket-bars",
+        ),
         7,
         week_aligned=True,
     ),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions import bound
 from barloom.operators import coverage, filters, planning, summary, tickers
 from barloom.operators.roll import roll_chain
+from barloom.session import materialize
 from barloom.sources.landing import ticker_rows
 from workload import derive as d
 from workload.registry import query
@@ -48,7 +49,7 @@ BASE = ("mb", "db", "grid")
 
 
 def _held(s, sf):
-    return coverage.coverage(d.all_tracks(s, sf), TODAY)
+    return materialize(coverage.coverage(d.all_tracks(s, sf), TODAY), "coverage")
 
 
 def _issues(s, sf):
@@ -60,7 +61,7 @@ def _catalog(s, sf):
 
 
 def _chain(s, sf):
-    return roll_chain(d.contracts(s, sf))
+    return materialize(roll_chain(d.contracts(s, sf)), "chain")
 
 
 def _listing(s, sf):
@@ -71,7 +72,7 @@ def _listing(s, sf):
 
 query(
     "coverage",
-    _held,
+    lambda s, sf: coverage.coverage(d.all_tracks(s, sf), TODAY),
     "instrument_key resolution rows min_date:s max_date:s lag_days stale",
     with_tables("SELECT * FROM cov", *BASE, extra=HELD),
 )

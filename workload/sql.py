@@ -185,9 +185,7 @@ CTES: dict[str, tuple[list[str], str]] = {
 
 def daily(symbol: str, source: str) -> str:
     """Daily bars of unit prices, opens and closes by arrival order."""
-    arrival = (
-        "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
-    )
+    arrival = "l_orderkey * 8 + l_linenumber + l_extendedprice / 1e6"
     return f"""
         SELECT 'stocks:' || symbol AS instrument_key, 'stocks' AS instrument_type, symbol,
                '1day' AS resolution, window_start,
