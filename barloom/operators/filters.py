@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import clock_seconds, local_seconds
+from barloom.operators.lookup import lookup_join
 from barloom.schema import KEY
+from barloom.session import materialize
 
 Bound = str | date | datetime | None
 
@@ -67,10 +69,9 @@ def select_columns(bars: DataFrame, columns: list[str]) -> DataFrame:
     return bars.select(*columns)
 
 
-def first_bars(bars: DataFrame, n: int, *, by: str = KEY, at: str = "window_start") -> DataFrame:
-    """The first ``n`` rows per key; pruned to ``n`` per key before the shuffle."""
-    order = W.partitionBy(by).orderBy(F.col(at).asc(), *_tie_break(bars, at))
-    return bars.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+def first_bars(bars: DataFrame, n: int, *, by: str = KEY) -> DataFrame:
+    """The first ``n`` bars per key."""
+    return _edge_bars(bars, n, by, newest=False)
 
 
 def latest_page(
@@ -82,15 +83,34 @@ def latest_page(
     by: str = KEY,
 ) -> DataFrame:
     """The last ``n`` bars per key inside an inclusive range."""
-    order = W.partitionBy(by).orderBy(
-        F.col("window_start").desc(), *_tie_break(bars, "window_start")
-    )
-    inside = filter_range(bars, after, before)
-    return inside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+    return _edge_bars(filter_range(bars, after, before), n, by, newest=True)
+
 
+def _edge_bars(bars: DataFrame, n: int, by: str, *, newest: bool) -> DataFrame:
+    """First or last ``n`` rows per key without gathering a key in one task.
 
-def _tie_break(bars: DataFrame, at: str) -> list[Column]:
-    return [F.col("ticker").asc()] if "ticker" in bars.columns and at != "ticker" else []
+    Counting bars per day tells which days can hold the page; only their rows
+    are ranked, so a window group is the page plus at most a day.
+    """
+    day = F.to_date("window_start")
+    order = F.col("_day").desc() if newest else F.col("_day").asc()
+    nearer = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    per_day = bars.groupBy(by, day.alias("_day")).agg(F.count("*").alias("_rows"))
+    needed = per_day.withColumn("_before", F.coalesce(F.sum("_rows").over(nearer), F.lit(0)))
+    edge = F.min("_day") if newest else F.max("_day")
+    cut = needed.filter(F.col("_before") < n).groupBy(by).agg(edge.alias("_cut"))
+    inside = day >= F.col("_cut") if newest else day <= F.col("_cut")
+    near = lookup_join(
+        bars, materialize(cut, "page-cut"), [by], condition=inside, how="inner",
+        spread_by=[by, "window_start"],
+    ).drop("_cut")
+    time = F.col("window_start").desc() if newest else F.col("window_start").asc()
+    ranks = W.partitionBy(by).orderBy(time, *_tie_break(bars))
+    return near.withColumn("_n", F.row_number().over(ranks)).filter(F.col("_n") <= n).drop("_n")
+
+
+def _tie_break(bars: DataFrame) -> list[Column]:
+    return [F.col("ticker").asc()] if "ticker" in bars.columns else []
 
 
 def chart_rows(bars: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators.lookup import lookup_join
 from barloom.schema import FRONTIER_POINTS, SAMPLES, SEED
+from barloom.session import materialize
 
 PORTFOLIO = ["universe", "portfolio_id"]
 WEIGHTS = "universe string, portfolio_id string, symbol string, weight double"
@@ -247,7 +249,7 @@ def frontier(evaluated: DataFrame, n_points: int = FRONTIER_POINTS) -> DataFrame
     )
     row = F.struct("portfolio_id", "mean_ann", "vol_ann", "sharpe")
     best = (
-        evaluated.join(spread, "universe")
+        lookup_join(evaluated, materialize(spread, "spread"), ["universe"], how="inner")
         .withColumns({"_step": step, "_flat": flat})
         .withColumn("_bucket", F.explode(F.when(F.col("_flat"), F.array(F.lit(0).cast("bigint")))
                                          .otherwise(around)))

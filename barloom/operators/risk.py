@@ -27,9 +27,12 @@ def asset_stats(
     sharpe = F.when(
         F.col("vol_ann") > 1e-15, (F.col("mean_ann") - rate) / F.col("vol_ann")
     )
-    return stats.withColumn("sharpe", sharpe).orderBy(
-        "universe", F.desc_nulls_last("sharpe"), "symbol"
-    )
+    return stats.withColumn("sharpe", sharpe)
+
+
+def rank_stats(stats: DataFrame) -> DataFrame:
+    """Output order: best Sharpe first, symbols without one last."""
+    return stats.orderBy("universe", F.desc_nulls_last("sharpe"), "symbol")
 
 
 def _block_moments():

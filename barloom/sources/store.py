@@ -100,9 +100,19 @@ def touched_months(bars: DataFrame) -> DataFrame:
 
 
 def bars_in_partitions(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
-    """Stored bars of the given partitions only."""
+    """Stored bars of the given partitions only.
+
+    The months, at most a few hundred, prune the scan statically; the join then
+    prunes the instruments' folders while it runs.
+    """
     stored = spark.read.schema(STORED).parquet(root)
-    kept = lookup_join(stored, touched, PARTITIONS, how="inner", spread_by=["window_start"])
+    months = [r.month for r in touched.select("month").distinct().collect()]
+    # A comparison on the small side is what lets Spark prune partitions through the join.
+    wanted = touched.filter(F.col("month") >= min(months, default=""))
+    kept = lookup_join(
+        stored.filter(F.col("month").isin(months)), wanted, PARTITIONS, how="inner",
+        spread_by=["window_start"],
+    )
     keyed = kept.withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))
     return keyed.select(*[f.name for f in BARS.fields])
 

@@ -40,13 +40,14 @@ def merge_batch(batch: DataFrame, bars_root: str) -> None:
 
     A replayed batch finds its own rows already stored and changes nothing.
     """
-    fresh = conform(batch)
+    fresh = conform(batch).persist()
     try:
         stored = bars_in_partitions(batch.sparkSession, bars_root, touched_months(fresh))
     except AnalysisException:  # the first batch finds no table yet
-        write_bars(merge_runs(fresh), bars_root)
-        return
-    write_bars(merge_runs(stored.unionByName(fresh)), bars_root)
+        stored = None
+    merged = fresh if stored is None else stored.unionByName(fresh)
+    write_bars(merge_runs(merged), bars_root)
+    fresh.unpersist()
 
 
 def start_merge(

@@ -8,7 +8,7 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjust_splits
-from barloom.operators.filters import filter_range, latest_page
+from barloom.operators.filters import filter_range, first_bars, latest_page
 from barloom.operators.lookup import fits_broadcast, lookup_join
 from barloom.operators.merge import merge_runs
 from barloom.operators.resample import resample_minutes
@@ -89,6 +89,33 @@ def test_no_cartesian_product_and_no_single_partition_window(spark, many):
         assert "SinglePartition" not in plan
 
 
+def test_pages_across_days(make_bars, minutes):
+    bars = make_bars(minutes("2025-06-01 23:58", 4) + minutes("2025-06-05 10:00", 3)).unionByName(
+        make_bars(minutes("2025-06-02 10:00", 2), symbol="BBB")
+    )
+
+    def times(df):
+        return sorted((r.symbol, r.window_start.strftime("%d %H:%M")) for r in df.collect())
+
+    assert times(latest_page(bars, 4)) == [
+        ("AAA", "02 00:01"), ("AAA", "05 10:00"), ("AAA", "05 10:01"), ("AAA", "05 10:02"),
+        ("BBB", "02 10:00"), ("BBB", "02 10:01"),
+    ]
+    assert times(first_bars(bars, 1)) == [("AAA", "01 23:58"), ("BBB", "02 10:00")]
+    assert times(latest_page(bars, 1, before="2025-06-03")) == [
+        ("AAA", "02 00:01"), ("BBB", "02 10:01")
+    ]
+
+
+def test_merge_reads_only_touched_partitions(spark, many, make_bars):
+    root = scratch_path(spark, "bars")
+    store.write_bars(many, root)
+    touched = store.touched_months(make_bars([("2025-06-30 10:00", 5)]))
+    kept = store.bars_in_partitions(spark, root, touched)
+    assert "dynamicpruning" in plan_of(kept)
+    assert {r.symbol for r in kept.collect()} == {"AAA"}
+
+
 def test_top_rows_are_pruned_before_the_shuffle(many):
     assert "WindowGroupLimit" in plan_of(latest_page(many, 5))
     assert "WindowGroupLimit" in plan_of(merge_runs(many))

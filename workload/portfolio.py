@@ -295,7 +295,7 @@ query(
 
 query(
     "asset_stats",
-    on_returns(_stats),
+    on_returns(lambda rets: risk.rank_stats(_stats(rets))),
     "universe symbol mean_ann:5 vol_ann:5 sharpe:5 n_obs",
     with_tables("SELECT * FROM stats", "dl", extra=RISK),
 )
