@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from barloom.schema import KEY, VOLUMES
 
-BAR_KEY = [KEY, "resolution", "window_start", "ticker"]
+# The time leads: it decides most comparisons of the sort by its binary prefix.
+BAR_KEY = ["window_start", KEY, "ticker", "resolution"]
 
 
 def _newest_first(runs: DataFrame) -> list:

@@ -175,7 +175,7 @@ def dedupe_timestamps(bars: DataFrame, chain: DataFrame | None = None) -> DataFr
         bars = bars.withColumn("_roll_rank", F.lit(-1))
     order = [F.coalesce("_roll_rank", F.lit(-1)).desc()]
     order += [F.col(c).desc_nulls_last() for c in ("run_id", "ticker") if c in bars.columns]
-    newest = W.partitionBy(KEY, "window_start").orderBy(*order)
+    newest = W.partitionBy("window_start", KEY).orderBy(*order)
     return (
         bars.withColumn("_rank", F.row_number().over(newest))
         .filter("_rank = 1")
