@@ -128,7 +128,7 @@ def manifest(runs: DataFrame, *, fetched_at: str) -> DataFrame:
 
 
 def column_manifest(rows: DataFrame) -> DataFrame:
-    """Non-null count, type and distinct-free range of every column of a dataset."""
+    """Non-null count and type of every column of a dataset."""
     names = rows.columns
     kinds = dict(rows.dtypes)
     counts = rows.agg(*[F.count(F.col(c)).alias(c) for c in names])
