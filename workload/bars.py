@@ -31,10 +31,35 @@ def _split_factors(spark, sf):
     return materialize(adjust.split_factors(d.splits(spark, sf)), "splits")
 
 
-def _dividend_factors(spark, sf):
+def _dividend_factors(spark, sf, bars):
     dividends = materialize(d.dividends(spark, sf), "ex-dates")
-    factors = adjust.dividend_factors(dividends, d.daily_bars(spark, sf))
-    return materialize(factors, "dividends")
+    return materialize(adjust.dividend_factors(dividends, bars), "dividends")
+
+
+# Queries that read their bars more than once start from stored bars, as a user would.
+
+
+def _daily(spark, sf):
+    return materialize(d.daily_bars(spark, sf), "daily-bars")
+
+
+def _contract_bars(spark, sf):
+    return materialize(d.contract_bars(spark, sf), "contract-bars")
+
+
+def _dividend_adjusted(spark, sf):
+    bars = _daily(spark, sf)
+    return adjust.adjust_dividends(bars, _dividend_factors(spark, sf, bars))
+
+
+def _adjusted_weeks(spark, sf):
+    bars = _daily(spark, sf)
+    return query_bars(
+        bars,
+        BarQuery("1week", start="1996-01-01", end="2000-12-31", adjust=True),
+        splits=_split_factors(spark, sf),
+        dividends=_dividend_factors(spark, sf, bars),
+    )
 
 
 # --- merge ---------------------------------------------------------------------------------
@@ -243,19 +268,19 @@ query(
 )
 query(
     "weekly_bars",
-    lambda s, sf: resample.resample_days(d.daily_bars(s, sf), 7, week_aligned=True),
+    lambda s, sf: resample.resample_days(_daily(s, sf), 7, week_aligned=True),
     DAY_OUT,
     with_tables(sql.days("db", 7, True), "db"),
 )
 query(
     "two_week_bars",
-    lambda s, sf: resample.resample_days(d.daily_bars(s, sf), 14, week_aligned=True),
+    lambda s, sf: resample.resample_days(_daily(s, sf), 14, week_aligned=True),
     DAY_OUT,
     with_tables(sql.days("db", 14, True), "db"),
 )
 query(
     "three_day_bars",
-    lambda s, sf: resample.resample_days(d.daily_bars(s, sf), 3),
+    lambda s, sf: resample.resample_days(_daily(s, sf), 3),
     DAY_OUT,
     with_tables(sql.days("db", 3), "db"),
 )
@@ -298,18 +323,13 @@ query(
 )
 query(
     "adjust_dividends",
-    lambda s, sf: adjust.adjust_dividends(d.daily_bars(s, sf), _dividend_factors(s, sf)),
+    _dividend_adjusted,
     f"{BAR} volume",
     with_tables(sql.asof_factor("db", "df", "ex_dividend_date"), "db", "df"),
 )
 query(
     "query_adjusted_weeks",
-    lambda s, sf: query_bars(
-        d.daily_bars(s, sf),
-        BarQuery("1week", start="1996-01-01", end="2000-12-31", adjust=True),
-        splits=_split_factors(s, sf),
-        dividends=_dividend_factors(s, sf),
-    ),
+    _adjusted_weeks,
     DAY_OUT,
     with_tables(
         sql.days("adjusted", 7, True),
@@ -423,7 +443,7 @@ query(
 )
 query(
     "adjust_rolls",
-    lambda s, sf: roll.adjust_rolls(d.contract_bars(s, sf), _chain(s, sf)),
+    lambda s, sf: roll.adjust_rolls(_contract_bars(s, sf), _chain(s, sf)),
     f"{BAR} ticker volume",
     with_tables(
         "SELECT cb.* REPLACE (open * roll_factor AS open, high * roll_factor AS high,"
@@ -501,7 +521,7 @@ query(
 query(
     "query_continuous_30m",
     lambda s, sf: query_bars(
-        d.contract_bars(s, sf),
+        _contract_bars(s, sf),
         BarQuery("30min", adjust=True, limit=500),
         chain=_chain(s, sf),
     ),

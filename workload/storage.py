@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators.adjust import split_factors
 from barloom.operators.merge import merge_runs
 from barloom.operators.planning import run_catalog
-from barloom.session import scratch_path
+from barloom.session import materialize, scratch_path
 from barloom.sources import landing, overlays, store
 from barloom.sources import tickers as shards
 from barloom.streaming.bars import tumbling_bars
@@ -270,7 +270,7 @@ query(
 def _saved_runs(s, sf):
     """Both loads saved as raw runs; the second lacks an optional column."""
     root = scratch_path(s, "raw-runs")
-    runs = d.runs(s, sf)
+    runs = materialize(d.runs(s, sf), "runs")
     store.save_run(runs.filter("run_id = '20240201T000000'"), root, "20240201T000000")
     late = runs.filter("run_id = '20240208T000000'").drop("dollar_volume")
     store.save_run(late, root, "20240208T000000")
@@ -433,7 +433,7 @@ def _stream_merged(s, sf):
     """Each load is merged when it lands; the second start takes up where the first stopped."""
     landing_root, bars_root = scratch_path(s, "raw-runs"), scratch_path(s, "stream-bars")
     checkpoint = scratch_path(s, "checkpoint")
-    runs = d.runs(s, sf)
+    runs = materialize(d.runs(s, sf), "runs")
     for run_id in ("20240201T000000", "20240208T000000"):
         store.save_run(runs.filter(F.col("run_id") == run_id), landing_root, run_id)
         start_merge(landed_runs(s, landing_root), bars_root, checkpoint).awaitTermination()
