@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders of local sessions, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators assume: UTC clock, adaptive plans."""
@@ -29,14 +32,20 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (tests, one machine) is a temporary folder taken and remembered.
+    The session names it in ``spark.checkpoint.dir``. Where that is unset, one
+    machine (a local master, as in tests) uses a temporary folder of its own;
+    a cluster is refused, since its executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
