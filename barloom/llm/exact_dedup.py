@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from barloom.llm.base import SPACES, scratch_path, stored, text_of
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream runs. Without the second, every state partition reserves some
+#: megabytes of disk that small states never fill.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Files of the ledger that one micro-batch takes.
 FILES_PER_BATCH = 1000
 #: Copies compared with one replica of the kept text.
@@ -76,8 +81,9 @@ def _streamed_groups(ledger: DataFrame, ledger_path: str, files_per_batch: int)
 
     schema = found.schema
     spark.createDataFrame([], schema).write.parquet(f"{changes}/batch=-1")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, STATE_STORE)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         (
             found.writeStream.outputMode("update")
@@ -88,10 +94,11 @@ def _streamed_groups(ledger: DataFrame, ledger_path: str, files_per_batch: int)
             .awaitTermination()
         )
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     # a digest is written again whenever it changes: ids only fall, counts only rise
     return (
         spark.read.schema(schema)
