@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm.base import table
+from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
+from barloom.llm.mixing import mixing_draws
+
+#: Conversation -1: control strings as texts.
+PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED, said.schema)
+    formatted = format_replies(
+        chained(said.unionAll(planted), "conv_id", "turn", "role", "text"),
+        tree="conv_id", node="node", parent="parent",
+    )
+    turns = formatted.withColumn("turns", parse_turns(F.col("formatted")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat_ws("\n", t.role, t.text, F.lit(""))), "")
+    learnt = F.filter("turns", lambda t: t.role == "assistant")
+    loss = F.array_join(F.transform(learnt, lambda t: t.text), "")
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing_draws(table(spark, sf, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,12 +48,35 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op3_mix_sources": op3_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(/?(s>|(INST|SYS|ROLE|TURN)\]))', '\1\2\\\3', 'g')"""
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'),
+                             (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        grouped AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)
+                       AS turns,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '') AS loss,
+                   sum(length({_ESCAPED.format("text")}) + CASE role WHEN 'system' THEN 11
+                       WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                       ELSE 20 + length({_ESCAPED.format("role")}) END)::BIGINT AS formatted_chars
+            FROM said GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, formatted_chars
+        FROM grouped""",
     "op7_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
