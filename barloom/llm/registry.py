@@ -11,6 +11,7 @@ from barloom.llm.base import table
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.mixing import mixing_draws
+from barloom.llm.winnowing import as_text, compare_edited
 
 #: Conversation -1: control strings as texts.
 PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -41,6 +42,16 @@ def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing_draws(table(spark, sf, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return compare_edited(table(spark, sf, "documents")).select(
+        "doc_id", "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text("print").alias("fingerprint"),
+        as_text("edited_print").alias("edited_fingerprint"),
+        "near_edited", "near_next", "next_id",
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_decisions(table(spark, sf, "documents")).withColumnRenamed(
         "text_digest", "text_sha256"
@@ -50,6 +61,7 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_mix_sources": op3_mix_sources,
+    "op4_fingerprints": op4_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
