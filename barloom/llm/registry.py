@@ -11,6 +11,7 @@ from barloom.llm.base import table
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.mixing import mixing_draws
+from barloom.llm.substring_dedup import remove_repeats
 from barloom.llm.winnowing import as_text, compare_edited
 
 #: Conversation -1: control strings as texts.
@@ -38,6 +39,13 @@ def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing_draws(table(spark, sf, "documents"))
 
@@ -60,6 +68,7 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
     "op7_exact_dedup": op7_exact_dedup,
@@ -89,6 +98,28 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
                sha256(loss) AS loss_sha256, formatted_chars
         FROM grouped""",
+    "op2_substring_dedup": r"""
+        WITH said AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        spans AS (
+            SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS passage
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM said)),
+        firsts AS MATERIALIZED (
+            SELECT passage, min(doc_id) AS first FROM spans GROUP BY passage),
+        gone AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place
+            FROM spans JOIN firsts USING (passage) WHERE first < doc_id),
+        places AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place
+            FROM said),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+            FROM places ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words,
+               (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM said LEFT JOIN kept USING (doc_id)""",
     "op7_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
