@@ -11,6 +11,7 @@ from barloom.llm.base import table
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.mixing import mixing_draws
+from barloom.llm.ngram_join import similar_documents
 from barloom.llm.substring_dedup import remove_repeats
 from barloom.llm.winnowing import as_text, compare_edited
 
@@ -60,6 +61,10 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_documents(table(spark, sf, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_decisions(table(spark, sf, "documents")).withColumnRenamed(
         "text_digest", "text_sha256"
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
