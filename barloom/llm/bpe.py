@@ -20,13 +20,16 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.base import free_name, text_of
 
@@ -49,6 +52,7 @@ _PLAIN_WORDS = re.compile(
 _WORDS = regex.compile(PATTERN)
 
 _FAR = np.int64(1 << 40)
+_NEVER = 1 << 40
 
 
 def _byte_characters() -> dict[int, str]:
@@ -88,19 +92,33 @@ class Vocabulary:
         keys = np.array([self.ids[a] * size + self.ids[b] for a, b in self.ranks], dtype=np.int64)
         order = np.argsort(keys)
         self.merge_keys, self.merge_ranks = keys[order], order.astype(np.int64)
-        self.longest = max(len(name.removesuffix(END)) for name in self.ids)
+        #: length of the longest token inside a word, and at its end, by first code points
+        self.inside: dict[str, int] = {}
+        self.ending = 0
+        for name in self.ids:
+            bare = name.removesuffix(END)
+            if name == bare:
+                self.inside[bare[:3]] = max(self.inside.get(bare[:3], 0), len(bare))
+            else:
+                self.ending = max(self.ending, len(bare))
         self.own: dict[int, bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Exact BPE: the merge of lowest rank, leftmost first, until none applies."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            ranked = [self.ranks.get(p, 1 << 60) for p in zip(symbols, symbols[1:])]
+        get = self.ranks.get
+        ranked = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:])]
+        while ranked:
             best = min(ranked)
-            if best == 1 << 60:
+            if best == _NEVER:
                 break
             i = ranked.index(best)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            # only the pairs on either side of the new symbol change
+            del ranked[i]
+            if i:
+                ranked[i - 1] = get((symbols[i - 1], symbols[i]), _NEVER)
+            if i < len(ranked):
+                ranked[i] = get((symbols[i], symbols[i + 1]), _NEVER)
         return symbols
 
     def symbols(self, name: str) -> list[str]:
@@ -116,15 +134,15 @@ class Vocabulary:
 
     def proposed(self, word: str) -> list[int] | None:
         """Greedy longest matches; the last token carries the end-of-word mark."""
-        tokens, i, n, ids = [], 0, len(word), self.ids
+        tokens, i, n, get, inside = [], 0, len(word), self.ids.get, self.inside.get
         while i < n:
-            last = ids.get(word[i:] + END) if n - i <= self.longest else None
-            if last is not None:
-                tokens.append(last)
+            if n - i <= self.ending and (token := get(word[i:] + END)) is not None:
+                tokens.append(token)
                 return tokens
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                token = ids.get(word[i:j])
-                if token is not None:
+            # tokens of one or two code points always begin like themselves
+            reach = inside(word[i : i + 3], 0) or inside(word[i : i + 2], 0) or 1
+            for j in range(min(n - 1, i + reach), i, -1):
+                if (token := get(word[i:j])) is not None:
                     tokens.append(token)
                     i = j
                     break
@@ -174,11 +192,8 @@ class Encoder:
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
         for name, token in self.vocabulary.special.items():
-            self._remember(name, [token])
-
-    def _remember(self, word: str, tokens: list[int]) -> None:
-        self.ids_of[word] = np.array(tokens, dtype=np.int32).tobytes()
-        self.text_of[word] = " ".join([self.vocabulary.names[t] for t in tokens])
+            self.ids_of[name] = array("i", [token]).tobytes()
+            self.text_of[name] = name
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text, special strings among them as they are."""
@@ -206,34 +221,42 @@ class Encoder:
         """Encodes words that aren't remembered yet."""
         if len(self.ids_of) > REMEMBERED:
             self._forget()
-        new = [w for w in set(words) if w not in self.ids_of]
+        new = [w for w in words if w not in self.ids_of]
         v = self.vocabulary
         names = [self._named(w) for w in new]
-        proposals = [v.proposed(name) for name in names]
-        good = np.array([p is not None and all(map(v.is_own, p)) for p in proposals], dtype=bool)
-        sizes = [len(p) if g else 0 for p, g in zip(proposals, good)]
-        flat = np.array([t for p, g in zip(proposals, good) if g for t in p], dtype=np.int64)
+        proposals = [v.proposed(name) or [] for name in names]
+        sizes = np.array(list(map(len, proposals)), dtype=np.int64)
+        flat = np.array(list(chain.from_iterable(proposals)), dtype=np.int64)
         owner = np.repeat(np.arange(len(new)), sizes)
+        good = sizes > 0
+        tokens, back = np.unique(flat, return_inverse=True)
+        own = np.array([v.is_own(t) for t in tokens.tolist()], dtype=bool)
+        if len(flat):
+            good[owner[~own[back]]] = False
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        codes = flat[inner] * v.size + flat[inner + 1]
-        distinct, back = np.unique(codes, return_inverse=True)
-        unknown = [c for c in distinct.tolist() if c not in self.pairs]
+        codes, back = np.unique(flat[inner] * v.size + flat[inner + 1], return_inverse=True)
+        unknown = [c for c in codes.tolist() if c not in self.pairs]
         if unknown:
             if len(self.pairs) > 4 * REMEMBERED:
-                self.pairs, unknown = {}, distinct.tolist()
+                self.pairs, unknown = {}, codes.tolist()
             pairs = np.array(unknown, dtype=np.int64)
             held = v.compatible(pairs // v.size, pairs % v.size)
             self.pairs.update(zip(unknown, held.tolist(), strict=True))
-        held = np.array([self.pairs[c] for c in distinct.tolist()], dtype=bool)
+        held = np.array([self.pairs[c] for c in codes.tolist()], dtype=bool)
         if len(inner):
             good[owner[inner[~held[back]]]] = False
-        for word, name, tokens, right in zip(new, names, proposals, good.tolist(), strict=True):
-            if not right:
-                tokens = [v.ids[s] for s in v.merged(v.symbols(name + END))]
-            self._remember(word, tokens)
+        ids, token_names = v.ids, v.names
+        for word, name, found, right in zip(new, names, proposals, good.tolist(), strict=True):
+            if right:
+                strings = [token_names[t] for t in found]
+            else:
+                strings = v.merged(v.symbols(name + END))
+                found = [ids[x] for x in strings]
+            self.ids_of[word] = array("i", found).tobytes()
+            self.text_of[word] = " ".join(strings)
 
 
-def _texts(column: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+def texts_of(column: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of about ``size`` bytes."""
     held: list[str] = []
     start = bytes_held = 0
@@ -267,13 +290,13 @@ def encoded(
     from_docs = docs.select(
         *[F.col(f"`{c}`") for c in kept], text_of(F.col(f"`{text}`")).alias(said)
     )
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, "array<int>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(ids, T.ArrayType(T.IntegerType()))
     schema = schema.add(decoded, "string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(content.value)
         for batch in batches:
-            for start, texts in _texts(batch.column(said), CHUNK_BYTES):
+            for start, texts in texts_of(batch.column(said), CHUNK_BYTES):
                 words = [encoder.words(t) for t in texts]
                 encoder.learn({w for ws in words for w in ws})
                 get_ids, get_text = encoder.ids_of.__getitem__, encoder.text_of.__getitem__

@@ -55,11 +55,14 @@ class WordHasher:
             self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
         return self.up[:n], self.down[:n]
 
-    def words(self, data: np.ndarray, offsets: np.ndarray):
+    def words(
+        self, data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = ()
+    ) -> tuple[np.ndarray, ...]:
         """(starts, ends, hashes, first): bytes and hashes of all words, and each text's first word.
 
         ``offsets`` are the limits of the texts in ``data``; ``first`` has one
-        entry more than there are texts.
+        entry more than there are texts. For each number in ``heads`` the hashes
+        of the words' first so many bytes follow (shorter words whole).
         """
         base, data = int(offsets[0]), data[offsets[0] : offsets[-1]]
         limits = offsets - base
@@ -78,9 +81,10 @@ class WordHasher:
         up, down = self._tables(len(data) + 1)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.numbers[data] * up[:-1], out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * down[starts])
+        stops = [ends, *[np.minimum(starts + n, ends) for n in heads]]
+        hashes, *more = [mixed((total[x] - total[starts]) * down[starts]) for x in stops]
         first = np.searchsorted(starts, limits)
-        return starts + base, ends + base, hashes, first
+        return starts + base, ends + base, hashes, first, *more
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.base import table
+from barloom.llm.base import stored, table
+from barloom.llm.bpe import encoded
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.mixing import mixing_draws
 from barloom.llm.ngram_join import similar_documents
 from barloom.llm.substring_dedup import remove_repeats
+from barloom.llm.token_counts import token_counts
+from barloom.llm.toxicity import held_out, scored, train
 from barloom.llm.winnowing import as_text, compare_edited
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Conversation -1: control strings as texts.
 PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -61,6 +66,17 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = encoded(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return similar_documents(table(spark, sf, "documents"))
 
@@ -71,13 +87,31 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(table(spark, sf, "documents"), VOCABULARY)
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = stored(train(docs, table(spark, sf, "labels")), "toxicity-model")
+    return scored(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_fingerprints": op4_fingerprints,
+    "op5_bpe": op5_bpe,
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
