@@ -12,6 +12,7 @@ from barloom.llm.base import stored, table
 from barloom.llm.bpe import encoded
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
+from barloom.llm.html_text import learn_weights, main_texts
 from barloom.llm.mixing import mixing_draws
 from barloom.llm.ngram_join import similar_documents
 from barloom.llm.substring_dedup import remove_repeats
@@ -91,6 +92,11 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), VOCABULARY)
 
 
+def op9_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return main_texts(pages, learn_weights(pages))
+
+
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = stored(train(docs, table(spark, sf, "labels")), "toxicity-model")
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
 }
 
