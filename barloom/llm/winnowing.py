@@ -22,8 +22,8 @@ from barloom.llm.base import text_of
 PIECE = 12
 GRAM = 4
 WINDOW = 8
-#: Consecutive ids that share a group when neighbours are looked up, and groups per upper group.
-IDS_PER_GROUP, GROUPS_PER_UPPER = 512, 4096
+#: Neighbours are looked up in groups of 2 ** ID_BITS ids, groups in 2 ** GROUP_BITS per upper group.
+ID_BITS, GROUP_BITS = 9, 12
 
 _LAST = (1 << 31) - 1
 
@@ -101,10 +101,10 @@ def as_text(fingerprint: str) -> Column:
 
 def _following(groups: DataFrame) -> DataFrame:
     """(part, next_part): the next lower group number that occurs; after the lowest, the highest."""
-    groups = groups.withColumn("upper", F.floor(F.col("part") / F.lit(GROUPS_PER_UPPER)))
+    groups = groups.withColumn("upper", F.shiftright("part", GROUP_BITS))
     inside = Window.partitionBy("upper").orderBy(F.desc("part"))
     uppers = groups.groupBy("upper").agg(F.max("part").alias("top"))
-    # one row per IDS_PER_GROUP * GROUPS_PER_UPPER ids
+    # one row per 2 ** (ID_BITS + GROUP_BITS) ids
     below = Window.orderBy(F.desc("upper"))
     whole = Window.orderBy(F.desc("upper")).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -127,20 +127,21 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     id_ = F.col(f"`{key}`").cast("long")
     order_key = F.coalesce(id_, F.lit(-(1 << 63)))
-    part = F.floor(order_key / F.lit(IDS_PER_GROUP)).cast("long")
+    # never null, so that no filter on it parts the two readers of the one exchange
+    part = F.shiftright(order_key, ID_BITS)
     rows = docs.select(
         part.alias("part"), order_key.alias("place"), id_.alias("id"),
         text_of(F.col(f"`{text}`")).alias("text"),
     )
     order = Window.partitionBy("part").orderBy(F.desc("place"), "text")
-    rows = rows.withColumn("first", F.lag(F.lit(1)).over(order).isNull())
-    after = [F.lead(c).over(order).alias(f"next_{c}") for c in ("id", "text", "print")]
-    inner = with_fingerprint(rows, "text", "print").select(
-        "part", "id", "text", "print", F.lead(F.lit(1)).over(order).isNull().alias("last"), *after
-    )
-    heads = with_fingerprint(rows.where("first"), "text", "print").select(
-        F.col("part").alias("next_part"),
-        F.struct("id", "text", "print").alias("head"),
+    first = F.lag(F.lit(1)).over(order).isNull()
+    last = F.lead(F.lit(1)).over(order).isNull()
+    after = [F.lead(c).over(order).alias(f"next_{c}") for c in ("id", "text")]
+    inner = with_fingerprint(rows.select("*", last.alias("last"), *after), "text", "print")
+    inner = inner.withColumn("next_print", F.lead("print").over(order))
+    heads = with_fingerprint(rows.withColumn("first", first).where("first"), "text", "print")
+    heads = heads.select(
+        F.col("part").alias("next_part"), F.struct("id", "text", "print").alias("head")
     )
     heads = _following(docs.select(part.alias("part")).distinct()).join(heads, "next_part")
     joined = inner.join(heads.drop("next_part"), "part", "left")
