@@ -278,11 +278,8 @@ def _rebuilt(piece: _Piece, stays: np.ndarray) -> pa.Array:
     followed[:-1] = doc[1:] == doc[:-1]
     inside[ends[followed]] = True
     data[ends[followed]] = 0x20
-    sizes = np.add.reduceat(inside, np.minimum(piece.offsets[:-1] - low, max(len(data) - 1, 0))) if (
-        len(data)
-    ) else np.zeros(len(piece.ids), dtype=np.int64)
-    sizes = np.where(np.diff(piece.offsets) > 0, sizes, 0)
-    limits = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    total = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(inside, dtype=np.int32)])
+    limits = total[piece.offsets - low]
     return pa.Array.from_buffers(
         pa.string(),
         len(piece.ids),
