@@ -36,6 +36,8 @@ from barloom.llm.base import text_of
 
 #: Labelled pages that training sees at most, and pages on which a name must be seen to count.
 SAMPLE, SEEN_ON = 2000, 5
+#: Cost of a word of furniture, in words of content.
+FURNITURE_COST = 0.2
 
 # Names of usual page furniture (tags, and words of class, id and role).
 FURNITURE_TAGS = (
@@ -154,9 +156,13 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def word(self, around: tuple[str, ...]) -> float:
-        """The worst name speaks, if it speaks against; otherwise words are content."""
+        """The worst name speaks, if it speaks against; otherwise words are content.
+
+        Words of furniture are left out of any run, so they need only keep a
+        run from starting or ending with them, and from bridging to too little.
+        """
         worst = min([self.names.get(n, -1.0 if n in _FURNITURE else 0.5) for n in around] or [0.5])
-        return worst if worst < 0 else 1.0
+        return FURNITURE_COST * worst if worst < 0 else 1.0
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1 if name in INLINE else -0.4)
