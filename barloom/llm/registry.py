@@ -167,6 +167,38 @@ ORACLES: dict[str, str] = {
                (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(text, '')) AS kept_sha256
         FROM said LEFT JOIN kept USING (doc_id)""",
+    "op6_ngram_join": r"""
+        WITH RECURSIVE said AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        texts AS MATERIALIZED (
+            SELECT array_to_string(words, ' ') AS passage, any_value(words) AS words,
+                   min(doc_id) AS rep, count(*) AS size
+            FROM said GROUP BY array_to_string(words, ' ')),
+        grams AS MATERIALIZED (
+            SELECT DISTINCT rep, array_to_string(words[place:place + 4], ' ') AS gram
+            FROM (SELECT rep, words, unnest(range(1, greatest(len(words) - 3, 2))) AS place
+                  FROM texts WHERE len(words) > 0)),
+        counts AS MATERIALIZED (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
+        links AS MATERIALIZED (
+            SELECT a, b FROM (
+                SELECT x.rep AS a, y.rep AS b, count(*) AS common
+                FROM grams AS x JOIN grams AS y USING (gram) WHERE x.rep != y.rep
+                GROUP BY x.rep, y.rep)
+            JOIN counts AS m ON m.rep = a JOIN counts AS n ON n.rep = b
+            WHERE common >= 0.8 * (m.n + n.n - common)),
+        reach AS (
+            SELECT rep AS a, rep AS b FROM texts
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        classes AS (
+            SELECT a AS rep, min(b) AS class_id, count(DISTINCT b) AS n_texts
+            FROM reach GROUP BY a),
+        linked AS (
+            SELECT a AS rep, sum(size) AS n FROM links JOIN texts ON texts.rep = b GROUP BY a)
+        SELECT doc_id, class_id, rep AS copy_of,
+               (size - 1 + coalesce(n, 0))::BIGINT AS n_links, n_texts
+        FROM said JOIN texts ON passage = array_to_string(said.words, ' ')
+        JOIN classes USING (rep) LEFT JOIN linked USING (rep)""",
     "op7_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
