@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.lookup import lookup_join
-from barloom.schema import KEY, OHLC
+from barloom.schema import DAY, KEY, OHLC, on_track
 
 
 def strict_forward_intervals(
@@ -112,7 +112,7 @@ def split_factors(splits: DataFrame) -> DataFrame:
 
 
 def previous_close(dates: DataFrame, bars: DataFrame, date_col: str) -> DataFrame:
-    """Last close strictly before each date (as-of join, backward and strict).
+    """Last daily close strictly before each date (as-of join, backward and strict).
 
     Every bar is sent to the first date after it, the last close per date is
     taken with a map-side combine, and gaps are filled from earlier dates.
@@ -120,7 +120,7 @@ def previous_close(dates: DataFrame, bars: DataFrame, date_col: str) -> DataFram
     wanted = dates.select(KEY, date_col).distinct()
     marked = wanted.withColumn("_next", F.col(date_col))
     bar_date = F.coalesce("session_end_date", F.to_date("window_start"))
-    closes = bars.select(KEY, "window_start", "session_end_date", "close")
+    closes = on_track(bars, DAY).select(KEY, "window_start", "session_end_date", "close")
     last = (
         asof_next(
             closes, marked, date_col, ["_next"], at=bar_date, how="inner", bounded_by=dates

@@ -16,7 +16,7 @@ def _buy_residual(acc: Column, row: Column) -> Column:
     buys = (row.floor < row.cap) & (row.deficit > 1e-9) & (row.price <= acc.cash + 1e-12)
     return F.struct(
         (acc.cash - F.when(buys, row.price).otherwise(0.0)).alias("cash"),
-        F.when(buys, F.array_append(acc.bought, row.symbol)).otherwise(acc.bought).alias("bought"),
+        F.array_append(acc.bought, buys.cast("int")).alias("bought"),
     )
 
 
@@ -53,7 +53,7 @@ def allocate_discrete(
     )
     start = F.struct(
         (F.lit(float(value)) - F.col("_spent")).alias("cash"),
-        F.array().cast("array<string>").alias("bought"),
+        F.array().cast("array<int>").alias("bought"),
     )
     folded = (
         lots.groupBy(*PORTFOLIO)
@@ -63,13 +63,14 @@ def allocate_discrete(
         )
         .withColumn("_fold", F.aggregate("_rows", start, _buy_residual))
     )
-    extra = F.array_contains("_fold.bought", F.col("symbol")).cast("int")
-    bought = folded.select(*PORTFOLIO, "_fold", F.inline("_rows")).select(
+    # what the fold bought stands at the position of its row
+    both = F.arrays_zip(F.col("_rows").alias("row"), F.col("_fold.bought").alias("extra"))
+    bought = folded.select(*PORTFOLIO, F.inline(both)).select(
         *PORTFOLIO,
-        "symbol",
-        "price",
-        "weight_th",
-        (F.col("floor") + extra).alias("shares"),
+        "row.symbol",
+        "row.price",
+        "row.weight_th",
+        (F.col("row.floor") + F.col("extra")).alias("shares"),
     )
     notional = F.col("shares") * F.col("price")
     invested = F.sum("notional").over(whole)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.clock import clock_seconds, local_seconds
 from barloom.operators.lookup import lookup_join
-from barloom.schema import KEY
-from barloom.session import materialize
+from barloom.schema import KEY, track
+
+#: Rows per key up to which Spark prunes ranks before the shuffle.
+RANKED = 1000
 
 Bound = str | date | datetime | None
 
@@ -70,7 +72,7 @@ def select_columns(bars: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def first_bars(bars: DataFrame, n: int, *, by: str = KEY) -> DataFrame:
-    """The first ``n`` bars per key."""
+    """The first ``n`` bars per key and track."""
     return _edge_bars(bars, n, by, newest=False)
 
 
@@ -82,31 +84,38 @@ def latest_page(
     after: Bound = None,
     by: str = KEY,
 ) -> DataFrame:
-    """The last ``n`` bars per key inside an inclusive range."""
+    """The last ``n`` bars per key and track inside an inclusive range."""
     return _edge_bars(filter_range(bars, after, before), n, by, newest=True)
 
 
 def _edge_bars(bars: DataFrame, n: int, by: str, *, newest: bool) -> DataFrame:
     """First or last ``n`` rows per key without gathering a key in one task.
 
-    Counting bars per day tells which days can hold the page; only their rows
-    are ranked, so a window group is the page plus at most a day.
+    Up to RANKED rows Spark prunes to ``n`` per key before the shuffle. For
+    longer pages, counting bars per day tells which days can hold the page; only
+    their rows are ranked, so a window group is the page plus at most a day.
     """
+    keys = [by, *[c for c in track(bars) if c not in (by, KEY)]]
+    time = F.col("window_start").desc() if newest else F.col("window_start").asc()
+    ranks = W.partitionBy(*keys).orderBy(time, *_tie_break(bars))
+    if n > RANKED:
+        bars = _days_of_page(bars, n, keys, newest=newest)
+    return bars.withColumn("_n", F.row_number().over(ranks)).filter(F.col("_n") <= n).drop("_n")
+
+
+def _days_of_page(bars: DataFrame, n: int, keys: list[str], *, newest: bool) -> DataFrame:
+    """Bars of the days that can hold the first or last ``n`` of their key."""
     day = F.to_date("window_start")
     order = F.col("_day").desc() if newest else F.col("_day").asc()
-    nearer = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    per_day = bars.groupBy(by, day.alias("_day")).agg(F.count("*").alias("_rows"))
+    nearer = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    per_day = bars.groupBy(*keys, day.alias("_day")).agg(F.count("*").alias("_rows"))
     needed = per_day.withColumn("_before", F.coalesce(F.sum("_rows").over(nearer), F.lit(0)))
     edge = F.min("_day") if newest else F.max("_day")
-    cut = needed.filter(F.col("_before") < n).groupBy(by).agg(edge.alias("_cut"))
+    cut = needed.filter(F.col("_before") < n).groupBy(*keys).agg(edge.alias("_cut"))
     inside = day >= F.col("_cut") if newest else day <= F.col("_cut")
-    near = lookup_join(
-        bars, materialize(cut, "page-cut"), [by], condition=inside, how="inner",
-        spread_by=[by, "window_start"],
+    return lookup_join(
+        bars, cut, keys, condition=inside, how="inner", spread_by=[*keys, "window_start"]
     ).drop("_cut")
-    time = F.col("window_start").desc() if newest else F.col("window_start").asc()
-    ranks = W.partitionBy(by).orderBy(time, *_tie_break(bars))
-    return near.withColumn("_n", F.row_number().over(ranks)).filter(F.col("_n") <= n).drop("_n")
 
 
 def _tie_break(bars: DataFrame) -> list[Column]:

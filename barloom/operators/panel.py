@@ -13,7 +13,14 @@ from barloom.operators.adjust import adjust_dividends, adjust_splits
 from barloom.operators.filters import Bound, filter_range
 from barloom.operators.lookup import lookup_join
 from barloom.operators.resample import resample_days
-from barloom.schema import KEY, MIN_COVERAGE, TRADING_DAYS_PER_YEAR, WEEKS_PER_YEAR
+from barloom.schema import (
+    DAY,
+    KEY,
+    MIN_COVERAGE,
+    TRADING_DAYS_PER_YEAR,
+    WEEKS_PER_YEAR,
+    on_track,
+)
 
 MIN_SYMBOLS = 2
 MIN_DATES = 5
@@ -38,7 +45,7 @@ def panel_closes(
     if timescale not in ("day", "week"):
         raise ValueError(f"timescale must be day or week, got {timescale!r}")
     wanted = ["window_start", "session_end_date", "ticker", "open", "high", "low", "close"]
-    bars = filter_range(bars, start, end).select(KEY, *wanted)
+    bars = filter_range(on_track(bars, DAY), start, end).select(KEY, *wanted)
     bars = bars.filter(F.startswith(KEY, F.lit("stocks:")))
     if splits is not None:
         bars = adjust_splits(bars, splits)
@@ -130,15 +137,25 @@ def panel_status(
 
 
 def returns(panel: DataFrame, kind: str = "simple") -> DataFrame:
-    """Simple or log return to the previous date; the first date has none."""
+    """Simple or log return to the previous date; the first date has none.
+
+    A date on which any symbol of the universe has no return (a zero or missing
+    close before it, a log of a price that is not positive) is left out for the
+    whole universe, so that all symbols keep the same dates.
+    """
     if kind not in ("simple", "log"):
         raise ValueError(f"kind must be simple or log, got {kind!r}")
     of_symbol = W.partitionBy("universe", "symbol")
-    growth = F.col("close") / F.lag("close").over(of_symbol.orderBy("date"))
-    value = F.ln(growth) if kind == "log" else growth - 1.0
+    on_date = W.partitionBy("universe", "date")
+    growth = F.try_divide("close", F.lag("close").over(of_symbol.orderBy("date")))
+    value = F.ln(F.when(growth > 0, growth)) if kind == "log" else growth - 1.0
+    symbols = panel.groupBy("universe").agg(F.count_distinct("symbol").alias("_symbols"))
     return (
         panel.withColumn("ret", value)
         .filter("ret IS NOT NULL")
+        .withColumn("_present", F.count("*").over(on_date))
+        .join(symbols, "universe")
+        .filter("_present = _symbols")
         .withColumn("_n", F.count("*").over(of_symbol))
         .filter(F.col("_n") >= MIN_RETURNS)
         .select("universe", "symbol", "date", "ret")

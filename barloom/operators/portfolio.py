@@ -5,21 +5,18 @@ Portfolios are long tables ``(universe, portfolio_id, symbol, weight)``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.lookup import lookup_join
+from barloom.operators.risk import SYMBOLS_PER_BLOCK
 from barloom.schema import FRONTIER_POINTS, SAMPLES, SEED
-from barloom.session import materialize
 
 PORTFOLIO = ["universe", "portfolio_id"]
-WEIGHTS = "universe string, portfolio_id string, symbol string, weight double"
-MOMENTS = "universe string, portfolio_id string, mean_ann double, vol_ann double"
+PARTS = "universe string, portfolio_id string, part double"
 PORTFOLIOS_PER_TASK = 2048
 # 13 hexadecimal digits of a digest are an exact double.
 UNIFORM_STEPS = float(16**13)
@@ -67,40 +64,33 @@ def sampled_weights(symbols: DataFrame, n_samples: int = SAMPLES, seed: int = SE
     )
 
 
-def _model(stats: DataFrame, cov: DataFrame) -> DataFrame:
-    """One row per symbol: its mean and its row of the covariance, sorted by symbol."""
-    entry = F.struct("symbol_b", "cov")
-    rows = cov.groupBy("universe", F.col("symbol_a").alias("symbol")).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.cov).alias("row")
-    )
-    return rows.join(stats.select("universe", "symbol", "mean_ann"), ["universe", "symbol"])
-
-
-# The task functions below are closures, so that executors need not have this package.
+# The task function below is a closure, so that executors need not have this package.
 
 
-def _evaluate():
-    def moments(weights: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        """Mean and volatility of a chunk of portfolios as one matrix product."""
-        if weights.empty or model.empty:
-            return pd.DataFrame(columns=["universe", "portfolio_id", "mean_ann", "vol_ann"])
-        model = model.sort_values("symbol").set_index("symbol")
-        cov = np.vstack(model["row"].to_numpy()).astype(float)
+def _block_variance():
+    def partial(weights: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        """Share of a pair of symbol blocks in the variance of a chunk of portfolios."""
+        if weights.empty or entries.empty:
+            return pd.DataFrame(columns=["universe", "portfolio_id", "part"])
         table = weights.pivot_table(
             index="portfolio_id", columns="symbol", values="weight", aggfunc="sum"
-        )
-        matrix = table.reindex(columns=model.index).fillna(0.0).to_numpy()
-        variance = np.einsum("ij,ij->i", matrix @ cov, matrix)
+        ).fillna(0.0)
+        place = pd.Series(range(table.shape[1]), index=table.columns)
+        known = entries[entries["symbol_a"].isin(place.index) & entries["symbol_b"].isin(place.index)]
+        one, other = place[known["symbol_a"]].to_numpy(), place[known["symbol_b"]].to_numpy()
+        cov = np.zeros((len(place), len(place)))
+        # one triangle is stored: a pair off the diagonal counts twice
+        cov[one, other] = known["cov"].to_numpy() * np.where(one == other, 1.0, 2.0)
+        matrix = table.to_numpy()
         return pd.DataFrame(
             {
                 "universe": weights["universe"].iloc[0],
                 "portfolio_id": table.index,
-                "mean_ann": matrix @ model["mean_ann"].to_numpy(dtype=float),
-                "vol_ann": np.sqrt(np.maximum(variance, 0.0)),
+                "part": np.einsum("ij,ij->i", matrix @ cov, matrix),
             }
         )
 
-    return moments
+    return partial
 
 
 def performance(
@@ -109,30 +99,61 @@ def performance(
     cov: DataFrame,
     risk_free_rate: float = 0.04,
     *,
-    portfolios: int | None = None,
+    portfolios: int = SAMPLES,
+    symbols_per_block: int = SYMBOLS_PER_BLOCK,
 ) -> DataFrame:
     """Annual mean, volatility and Sharpe of every portfolio.
 
-    Portfolios are split into tasks of bounded size that each receive their
-    universe's model, and are evaluated as one matrix product. ``portfolios``
-    is their number per universe where known; otherwise it is counted.
+    ``cov`` holds pairs ``symbol_a <= symbol_b``. The variance is a sum over
+    pairs of symbol blocks: a task holds a chunk of portfolios on two blocks and
+    the covariances between them, never a whole matrix. ``portfolios`` is the
+    expected number per universe and sets the number of chunks.
     """
-    projected = long_only(weights)
-    if portfolios is None:
-        per_universe = weights.select(*PORTFOLIO).distinct().groupBy("universe").count()
-        portfolios = per_universe.agg(F.max("count")).first()[0] or 1
     chunks = max(1, -(-int(portfolios) // PORTFOLIOS_PER_TASK))
-    chunk = F.pmod(F.xxhash64("portfolio_id"), F.lit(chunks)).cast("int")
-    model = _model(stats, cov).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    blocks = stats.groupBy("universe").agg(
+        F.ceil(F.count("*") / symbols_per_block).cast("int").alias("_blocks")
     )
-    moments = (
-        projected.withColumn("_chunk", chunk)
-        .groupBy("universe", "_chunk")
-        .cogroup(model.groupBy("universe", "_chunk"))
-        .applyInPandas(_evaluate(), MOMENTS)
+
+    def block(symbol: str) -> Column:
+        return F.pmod(F.xxhash64(symbol), F.col("_blocks")).cast("int")
+
+    held = (
+        long_only(weights)
+        .join(stats.select("universe", "symbol", "mean_ann"), ["universe", "symbol"])
+        .withColumn("_chunk", F.pmod(F.xxhash64("portfolio_id"), F.lit(chunks)).cast("int"))
+    )
+    means = held.groupBy(*PORTFOLIO).agg(
+        F.sum(F.col("weight") * F.col("mean_ann")).alias("mean_ann")
+    )
+    pairs = ["universe", "_chunk", "_low", "_high"]
+    split = (
+        held.drop("mean_ann")
+        .join(blocks, "universe")
+        .withColumn("_block", block("symbol"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select(
+            "universe", "_chunk", "portfolio_id", "symbol", "weight",
+            F.least("_block", "_other").alias("_low"),
+            F.greatest("_block", "_other").alias("_high"),
+        )
+    )
+    entries = (
+        cov.join(blocks, "universe")
+        .withColumns({"_a": block("symbol_a"), "_b": block("symbol_b")})
+        .select(
+            "universe", "symbol_a", "symbol_b", "cov",
+            F.least("_a", "_b").alias("_low"), F.greatest("_a", "_b").alias("_high"),
+            F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
+        )
+    )
+    variance = (
+        split.groupBy(*pairs)
+        .cogroup(entries.groupBy(*pairs))
+        .applyInPandas(_block_variance(), PARTS)
+        .groupBy(*PORTFOLIO)
+        .agg(F.sqrt(F.greatest(F.sum("part"), F.lit(0.0))).alias("vol_ann"))
     )
-    return with_sharpe(moments, risk_free_rate)
+    return with_sharpe(means.join(variance, PORTFOLIO), risk_free_rate)
 
 
 def with_sharpe(moments: DataFrame, risk_free_rate: float) -> DataFrame:
@@ -140,58 +161,11 @@ def with_sharpe(moments: DataFrame, risk_free_rate: float) -> DataFrame:
     return moments.withColumn("sharpe", F.when(F.col("vol_ann") > 1e-15, excess))
 
 
-def analytic_weights(
-    stats: DataFrame, cov: DataFrame, risk_free_rate: float = 0.04
-) -> DataFrame:
-    """Unconstrained minimum-variance and maximum-Sharpe weights, clipped to long-only.
-
-    One small linear system per universe (and window): covariances come from
-    Spark, each group solves its own.
-    """
-
-    def solve(key: tuple, model: pd.DataFrame) -> pd.DataFrame:
-        model = model.sort_values("symbol")
-        symbols = model["symbol"].to_numpy()
-        matrix = np.vstack(model["row"].to_numpy()).astype(float)
-        excess = model["mean_ann"].to_numpy(dtype=float) - risk_free_rate
-        frames = []
-        for name, right in (("min-var", np.ones(len(symbols))), ("tangency", excess)):
-            try:
-                raw = np.linalg.solve(matrix, right)
-            except np.linalg.LinAlgError:
-                raw = np.linalg.pinv(matrix) @ right
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "universe": key[0],
-                        "portfolio_id": name,
-                        "symbol": symbols,
-                        "weight": raw,
-                    }
-                )
-            )
-        return pd.concat(frames, ignore_index=True)
-
-    solved = _model(stats, cov).groupBy("universe").applyInPandas(solve, WEIGHTS)
-    return long_only(solved)
-
-
 def candidates(
-    symbols: DataFrame,
-    stats: DataFrame,
-    cov: DataFrame,
-    *,
-    risk_free_rate: float = 0.04,
-    n_samples: int = SAMPLES,
-    seed: int = SEED,
+    symbols: DataFrame, *, n_samples: int = SAMPLES, seed: int = SEED
 ) -> DataFrame:
-    """Analytic and equal portfolios together with the samples."""
-    parts = [
-        analytic_weights(stats, cov, risk_free_rate),
-        equal_weights(symbols),
-        sampled_weights(symbols, n_samples, seed),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The equal portfolio together with the samples."""
+    return equal_weights(symbols).unionByName(sampled_weights(symbols, n_samples, seed))
 
 
 # Accepted names of the three objectives.
@@ -249,7 +223,7 @@ def frontier(evaluated: DataFrame, n_points: int = FRONTIER_POINTS) -> DataFrame
     )
     row = F.struct("portfolio_id", "mean_ann", "vol_ann", "sharpe")
     best = (
-        lookup_join(evaluated, materialize(spread, "spread"), ["universe"], how="inner")
+        lookup_join(evaluated, spread, ["universe"], how="inner")
         .withColumns({"_step": step, "_flat": flat})
         .withColumn("_bucket", F.explode(F.when(F.col("_flat"), F.array(F.lit(0).cast("bigint")))
                                          .otherwise(around)))

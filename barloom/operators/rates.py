@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.schema import KEY
+from barloom.schema import DAY, KEY, on_track
 
 
 def yield_quotes(bars: DataFrame) -> DataFrame:
-    """Last known yield (percent) of each series as a rate, with its date."""
-    known = bars.filter("close IS NOT NULL AND session_end_date IS NOT NULL")
+    """Last known daily yield (percent) of each series as a rate, with its date."""
+    known = on_track(bars, DAY).filter("close IS NOT NULL AND session_end_date IS NOT NULL")
     return known.groupBy(KEY).agg(
         (F.max_by("close", "session_end_date") / 100).alias("rate"),
         F.max("session_end_date").alias("as_of"),

@@ -41,6 +41,8 @@ def _block_moments():
     def block_pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Moments between the symbols of two blocks, from their return series."""
         universe, left, right = key
+        if rows["dates"].nunique() > 1:
+            raise ValueError(f"universe {universe}: symbols have returns on different dates")
         matrix = np.vstack(rows["series"].to_numpy())
         centred = matrix - matrix.mean(axis=1, keepdims=True)
         n = matrix.shape[1]
@@ -51,35 +53,43 @@ def _block_moments():
         norm = np.outer(scale[first], scale[second])
         corr = np.divide(product, norm, out=np.full_like(product, np.nan), where=norm > 0)
         names = rows["symbol"].to_numpy()
+        one, other = np.repeat(names[first], len(second)), np.tile(names[second], len(first))
+        swapped = one > other
         out = pd.DataFrame(
             {
                 "universe": universe,
-                "symbol_a": np.repeat(names[first], len(second)),
-                "symbol_b": np.tile(names[second], len(first)),
+                "symbol_a": np.where(swapped, other, one),
+                "symbol_b": np.where(swapped, one, other),
                 "cov": (product / (n - 1)).ravel(),
                 "corr": corr.ravel(),
                 "n_obs": n,
             }
         )
-        if left == right:
-            return out
-        mirrored = out.rename(columns={"symbol_a": "symbol_b", "symbol_b": "symbol_a"})
-        return pd.concat([out, mirrored[out.columns]], ignore_index=True)
+        # inside one block every pair comes twice
+        return out if left != right else out[~swapped]
 
     return block_pair
 
 
 def pair_moments(rets: DataFrame, symbols_per_block: int = SYMBOLS_PER_BLOCK) -> DataFrame:
-    """Sample covariance and correlation of every pair of symbols of a universe.
+    """Sample covariance and correlation of every pair ``symbol_a <= symbol_b`` of a universe.
 
-    Each symbol's returns travel as one array (a universe shares its dates), and
+    Each symbol's returns travel as one array (a universe shares its dates, which
+    a hash of them proves), and
     symbols are hashed into blocks of bounded size. A task holds two blocks and
     multiplies them, so the data are copied once per block instead of once per
     pair, and no task sees a whole universe.
     """
     point = F.struct("date", "ret")
-    series = rets.groupBy("universe", "symbol").agg(
-        F.transform(F.array_sort(F.collect_list(point)), lambda p: p.ret).alias("series")
+    series = (
+        rets.groupBy("universe", "symbol")
+        .agg(F.array_sort(F.collect_list(point)).alias("points"))
+        .select(
+            "universe",
+            "symbol",
+            F.transform("points", lambda p: p.ret).alias("series"),
+            F.xxhash64(F.transform("points", lambda p: p.date)).alias("dates"),
+        )
     )
     sizes = (
         rets.groupBy("universe", "symbol")
@@ -98,12 +108,22 @@ def pair_moments(rets: DataFrame, symbols_per_block: int = SYMBOLS_PER_BLOCK) ->
         F.least("block", "_other").alias("left"),
         F.greatest("block", "_other").alias("right"),
         "series",
+        "dates",
     )
     return copies.groupBy("universe", "left", "right").applyInPandas(_block_moments(), PAIRS)
 
 
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Both triangles of a matrix of which one is stored."""
+    turned = {"symbol_a": "symbol_b", "symbol_b": "symbol_a"}
+    swapped = pairs.filter("symbol_a <> symbol_b").select(
+        *[F.col(turned.get(c, c)).alias(c) for c in pairs.columns]
+    )
+    return pairs.unionByName(swapped)
+
+
 def covariance_matrix(moments: DataFrame, periods: float | None = None) -> DataFrame:
-    """Long covariance matrix, annualised when periods are given."""
+    """Upper triangle of the covariance matrix, annualised when periods are given."""
     value = F.col("cov") if periods is None else F.col("cov") * periods
     return moments.select("universe", "symbol_a", "symbol_b", value.alias("cov"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.lookup import lookup_join
-from barloom.schema import DAYS_BEFORE_EXPIRY, KEY, PRICES
+from barloom.schema import DAYS_BEFORE_EXPIRY, KEY, PRICES, track
 
 
 def roll_chain(contracts: DataFrame, days_before_expiry: int = DAYS_BEFORE_EXPIRY) -> DataFrame:
@@ -154,7 +154,12 @@ def roll_factors(bars: DataFrame, chain: DataFrame) -> DataFrame:
 
 def adjust_rolls(bars: DataFrame, chain: DataFrame) -> DataFrame:
     """Prices of earlier contracts scaled onto the newest one; tickers are kept."""
-    factors = roll_factors(bars, chain).select(KEY, "ticker", "roll_factor")
+    # a ticker that a chain lists twice keeps the factor of its newest entry
+    factors = (
+        roll_factors(bars, chain)
+        .groupBy(KEY, "ticker")
+        .agg(F.max_by("roll_factor", "roll_rank").alias("roll_factor"))
+    )
     joined = lookup_join(bars, factors, [KEY, "ticker"], bounded_by=chain)
     factor = F.coalesce("roll_factor", F.lit(1.0))
     return joined.withColumns(
@@ -163,7 +168,7 @@ def adjust_rolls(bars: DataFrame, chain: DataFrame) -> DataFrame:
 
 
 def dedupe_timestamps(bars: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """One bar per instrument and timestamp: the newest contract in the chain wins.
+    """One bar per instrument, track and timestamp: the newest contract in the chain wins.
 
     Without a chain (or for tickers outside it) the later run, then the later
     ticker wins, so the result does not depend on row order.
@@ -175,7 +180,7 @@ def dedupe_timestamps(bars: DataFrame, chain: DataFrame | None = None) -> DataFr
         bars = bars.withColumn("_roll_rank", F.lit(-1))
     order = [F.coalesce("_roll_rank", F.lit(-1)).desc()]
     order += [F.col(c).desc_nulls_last() for c in ("run_id", "ticker") if c in bars.columns]
-    newest = W.partitionBy("window_start", KEY).orderBy(*order)
+    newest = W.partitionBy("window_start", *track(bars)).orderBy(*order)
     return (
         bars.withColumn("_rank", F.row_number().over(newest))
         .filter("_rank = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.filters import parse_bound
 from barloom.operators.roll import active_contract
-from barloom.schema import KEY
+from barloom.schema import DAY, KEY, on_track
 
 # Listing columns whose values are offered as filters.
 VALUE_COLUMNS = ["market", "type", "primary_exchange", "currency_name"]
@@ -65,14 +65,15 @@ def futures_summary(bars: DataFrame, chain: DataFrame, today: str) -> DataFrame:
 
 
 def window_performance(bars: DataFrame, now: str, days: int) -> DataFrame:
-    """Closes of the last days and their change in percent; null below two points."""
+    """Daily closes of the last days and their change in percent; null below two points."""
     moment = parse_bound(now)
     cutoff = F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz") - F.make_dt_interval(
         F.lit(days)
     )
     point = F.struct("window_start", "close")
     recent = (
-        bars.filter((F.col("window_start") >= cutoff) & F.col("close").isNotNull())
+        on_track(bars, DAY)
+        .filter((F.col("window_start") >= cutoff) & F.col("close").isNotNull())
         .groupBy(KEY)
         .agg(
             F.min_by("close", "window_start").alias("first_close"),

@@ -55,8 +55,6 @@ def study(
     moments = materialize(pair_moments(rets), "moments")
     cov = regularized(covariance_matrix(moments, periods))
     symbols = stats.select("universe", "symbol")
-    weights = candidates(
-        symbols, stats, cov, risk_free_rate=risk_free_rate, n_samples=n_samples, seed=seed
-    )
-    evaluated = performance(weights, stats, cov, risk_free_rate, portfolios=n_samples + 3)
+    weights = candidates(symbols, n_samples=n_samples, seed=seed)
+    evaluated = performance(weights, stats, cov, risk_free_rate, portfolios=n_samples + 1)
     return Research(panel, rets, stats, moments, cov, weights, evaluated)

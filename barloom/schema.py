@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY = "instrument_key"
@@ -100,3 +102,15 @@ RIDGE = 1e-10
 SAMPLES = 5000
 SEED = 42
 FRONTIER_POINTS = 40
+
+
+def track(bars: DataFrame) -> list[str]:
+    """Columns that tell one series of bars from another: the instrument and its track."""
+    return [c for c in (KEY, "resolution") if c in bars.columns]
+
+
+def on_track(bars: DataFrame, resolution: str) -> DataFrame:
+    """Bars of one track; bars without a ``resolution`` column are of one track already."""
+    if "resolution" not in bars.columns:
+        return bars
+    return bars.filter(F.col("resolution") == resolution)

@@ -12,9 +12,9 @@ from barloom.operators.filters import filter_range, first_bars, latest_page
 from barloom.operators.lookup import fits_broadcast, lookup_join
 from barloom.operators.merge import merge_runs
 from barloom.operators.resample import resample_minutes
-from barloom.operators.risk import pair_moments
+from barloom.operators.risk import mirrored, pair_moments
 from barloom.plans.bar_query import BarQuery, query_bars
-from barloom.session import scratch_path
+from barloom.session import materialize, scratch_path
 from barloom.sources import store
 
 
@@ -48,8 +48,8 @@ def _rows(df):
 
 
 def test_salted_join_gives_the_same_rows(spark, many):
-    small = adjust_splits(many, _splits(spark))
-    large = adjust_splits(many, _splits(spark), max_rows=1, salts=5)
+    small = adjust_splits(many, materialize(_splits(spark), "splits"))
+    large = adjust_splits(many, _splits(spark), max_bytes=1, salts=5)
     assert _rows(small) == _rows(large)
     assert "Broadcast" in plan_of(small)
     assert "_side_salt" in plan_of(large)
@@ -58,15 +58,16 @@ def test_salted_join_gives_the_same_rows(spark, many):
 def test_inner_salted_join(spark, many):
     side = spark.createDataFrame([("stocks:AAA", 1), ("stocks:AAA", 2)],
                                  "instrument_key string, n int")
-    salted = lookup_join(many, side, ["instrument_key"], how="inner", max_rows=1)
+    salted = lookup_join(many, side, ["instrument_key"], how="inner", max_bytes=1)
     plain = many.join(side, "instrument_key")
     assert salted.count() == plain.count() == 120
     assert sorted(salted.columns) == sorted(plain.columns)
 
 
 def test_size_check(spark):
-    assert fits_broadcast(spark.range(10), 10)
-    assert not fits_broadcast(spark.range(11), 10)
+    assert fits_broadcast(spark.range(10), 80)
+    assert not fits_broadcast(spark.range(11), 80)
+    assert fits_broadcast(spark.range(10))
 
 
 def test_resampling_shuffles_bars_once_and_hashes(many):
@@ -166,7 +167,7 @@ def test_block_moments_do_not_depend_on_the_blocks(spark):
         }
 
     whole = pairs(128)
-    assert len(whole) == 81
+    assert len(whole) == 45  # one triangle
     assert pairs(2) == whole
     expected = {
         (r.a, r.b): (round(r.cov, 12), round(r.corr, 12), 20)
@@ -175,7 +176,27 @@ def test_block_moments_do_not_depend_on_the_blocks(spark):
         .groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"))
         .collect()
     }
-    assert whole == expected
+    assert whole == {pair: x for pair, x in expected.items() if pair[0] <= pair[1]}
+    both = {(r.symbol_a, r.symbol_b): round(r.cov, 12) for r in mirrored(pair_moments(rets)).collect()}
+    assert both == {pair: x[0] for pair, x in expected.items()}
+
+
+def test_moments_refuse_returns_on_different_dates(spark):
+    rows = [("u", s, d, float(d)) for s, off in (("A", 0), ("B", 1)) for d in range(off, 5 + off)]
+    rets = spark.createDataFrame(rows, "universe string, symbol string, date int, ret double")
+    with pytest.raises(Exception, match="different dates"):
+        pair_moments(rets).collect()
+
+
+def test_no_job_runs_before_the_action(spark, make_bars, minutes):
+    bars = make_bars(minutes("2025-06-01 09:30", 30))
+    counted = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        query_bars(bars, BarQuery("15min", limit=3), splits=_splits(spark))
+        assert list(counted.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize(

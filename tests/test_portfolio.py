@@ -90,14 +90,42 @@ def test_performance_matches_numpy(spark, rets, matrix):
         assert out[name].vol_ann == pytest.approx(np.sqrt(w @ sigma @ w))
 
 
+@pytest.mark.parametrize("size", [1, 2, 128])
+def test_performance_does_not_depend_on_the_blocks(spark, rets, matrix, size):
+    stats, cov = _model(rets)
+    weights = portfolio.sampled_weights(stats.select("universe", "symbol"), 20)
+    out = portfolio.performance(weights, stats, cov, symbols_per_block=size).collect()
+    sigma = np.cov(matrix, rowvar=False) * 252 + np.eye(3) * 1e-10
+    held = {(r.portfolio_id, r.symbol): r.weight for r in weights.collect()}
+    assert len(out) == 20
+    for row in out:
+        w = np.array([held[row.portfolio_id, s] for s in ("AAA", "BBB", "CCC")])
+        assert row.vol_ann == pytest.approx(np.sqrt(w @ sigma @ w))
+
+
+def test_zero_and_negative_closes_drop_whole_dates(spark):
+    closes = {"A": [1.0, 2.0, 0.0, 4.0, 5.0, 7.0, 9.0], "B": [3.0, 4.0, 5.0, 6.0, -7.0, 8.0, 7.0]}
+    rows = [("u", s, d, c) for s, cs in closes.items() for d, c in enumerate(cs)]
+    prices = spark.createDataFrame(rows, "universe string, symbol string, date int, close double")
+    dates = {
+        kind: {
+            s: sorted(r.date for r in panel.returns(prices, kind).filter(F.col("symbol") == s).collect())
+            for s in closes
+        }
+        for kind in ("simple", "log")
+    }
+    assert dates["simple"] == {s: [1, 2, 4, 5, 6] for s in closes}
+    assert dates["log"] == {s: [1, 6] for s in closes}
+
+
 def test_selection_and_frontier(rets):
     stats, cov = _model(rets)
     symbols = stats.select("universe", "symbol")
-    weights = portfolio.candidates(symbols, stats, cov, n_samples=400)
+    weights = portfolio.candidates(symbols, n_samples=400)
     sums = weights.groupBy("portfolio_id").agg(F.sum("weight").alias("s"), F.min("weight").alias("m"))
     assert sums.filter("abs(s - 1) > 1e-9 OR m < 0").count() == 0
-    evaluated = portfolio.performance(weights, stats, cov, portfolios=403).cache()
-    assert evaluated.count() == 403
+    evaluated = portfolio.performance(weights, stats, cov, portfolios=401).cache()
+    assert evaluated.count() == 401
     best = {o: portfolio.select_best(evaluated, o).first() for o in ("equal", "minvol", "sharpe")}
     assert best["minvol"].vol_ann <= best["equal"].vol_ann
     assert best["sharpe"].sharpe >= best["equal"].sharpe

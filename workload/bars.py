@@ -56,7 +56,7 @@ def _adjusted_weeks(spark, sf):
     bars = _daily(spark, sf)
     return query_bars(
         bars,
-        BarQuery("1week", start="1996-01-01", end="2000-12-31", adjust=True),
+        BarQuery("1week", adjust=True),
         splits=_split_factors(spark, sf),
         dividends=_dividend_factors(spark, sf, bars),
     )
@@ -216,18 +216,9 @@ query(
 
 query(
     "session_bars_60m",
-    lambda s, sf: resample.resample_minutes(
-        filters.filter_range(_merged(s, sf), "2024-01-02", "2024-01-28"), 60
-    ),
+    lambda s, sf: resample.resample_minutes(_merged(s, sf), 60),
     MINUTE_OUT,
-    with_tables(
-        sql.minutes("src", 60),
-        "merged",
-        extra={
-            "src": "SELECT * FROM merged WHERE window_start >= TIMESTAMP '2024-01-02'"
-            " AND window_start < TIMESTAMP '2024-01-29'"
-        },
-    ),
+    with_tables(sql.minutes("merged", 60), "merged"),
 )
 query(
     "session_bars_7m",
@@ -337,9 +328,7 @@ query(
         "sf",
         "df",
         extra={
-            "ranged": "SELECT * FROM db WHERE window_start BETWEEN TIMESTAMP '1996-01-01'"
-            " AND TIMESTAMP '2000-12-31 23:59:59'",
-            "split_adjusted": sql.asof_factor("ranged", "sf", "execution_date"),
+            "split_adjusted": sql.asof_factor("db", "sf", "execution_date"),
             "adjusted": sql.asof_factor("split_adjusted", "df", "ex_dividend_date"),
         },
     ),
@@ -490,7 +479,7 @@ query(
 query(
     "tick_quality",
     lambda s, sf: query_quality(
-        d.contract_bars(s, sf), BarQuery("1min", start="2024-01-03"), _chain(s, sf), trigger=0.1
+        d.contract_bars(s, sf), BarQuery("1min"), _chain(s, sf), trigger=0.1
     ),
     "instrument_key ticker tick_size:4 total_candles bad_candles ratio:8 status",
     with_tables(
@@ -511,7 +500,7 @@ query(
                      > 0.1::DOUBLE * trade_tick_size AS bad
             FROM cb JOIN (SELECT instrument_key, ticker, trade_tick_size FROM chain)
               USING (instrument_key, ticker)
-            WHERE trade_tick_size > 0 AND window_start >= TIMESTAMP '2024-01-03')
+            WHERE trade_tick_size > 0)
           GROUP BY ROLLUP (instrument_key, ticker)
           HAVING instrument_key IS NOT NULL)
         """,
@@ -522,13 +511,12 @@ query(
     "query_continuous_30m",
     lambda s, sf: query_bars(
         _contract_bars(s, sf),
-        BarQuery("30min", adjust=True, limit=500),
+        BarQuery("30min", adjust=True),
         chain=_chain(s, sf),
     ),
     f"{BAR} candle_count ticker volume",
     with_tables(
-        "SELECT * FROM (" + sql.minutes("adjusted", 30) + ") QUALIFY row_number() OVER ("
-        "PARTITION BY instrument_key ORDER BY window_start) <= 500",
+        sql.minutes("adjusted", 30),
         "rolls",
         "cb_once",
         extra={

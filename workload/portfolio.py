@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from barloom.operators import allocate, basket, panel, portfolio, rates, resample, risk
 from barloom.operators.adjust import dividend_factors, split_factors
 from barloom.plans.portfolio import study
+from barloom.schema import FRONTIER_POINTS, SAMPLES
 from barloom.session import materialize
 from workload import derive as d
 from workload import sql
 from workload.registry import query
 from workload.sql import with_tables
 
-SAMPLES = 300
 RATE = 0.04
 
 # Line numbers trade almost every day: a dense daily panel under the default threshold.
@@ -53,6 +53,17 @@ SPARSE = {
 }
 
 
+def _whole_dates(value: str, known: str) -> str:
+    """Returns on the dates on which every symbol of the universe has one."""
+    return f"""
+            SELECT universe, symbol, date, ret
+            FROM (SELECT *, {value.replace("ln(growth)", "ln(CASE WHEN growth > 0 THEN growth END)")}
+                         AS ret, count(*) FILTER ({known}) OVER (PARTITION BY universe, date)
+                         AS present FROM grown)
+            WHERE present = members
+        """
+
+
 def panel_ctes(min_coverage: float) -> dict[str, str]:
     return {
         "cover": f"""
@@ -73,12 +84,14 @@ def panel_ctes(min_coverage: float) -> dict[str, str]:
               WHERE present = n_kept AND n_kept >= 2)
             WHERE n >= 5
         """,
-        "rets": """
-            SELECT universe, symbol, date, close / prev - 1 AS ret, ln(close / prev) AS log_ret
-            FROM (SELECT *, lag(close) OVER (PARTITION BY universe, symbol ORDER BY date) AS prev
-                  FROM panel)
-            WHERE prev IS NOT NULL
+        "grown": """
+            SELECT universe, symbol, date, close / nullif(lag(close) OVER (
+                     PARTITION BY universe, symbol ORDER BY date), 0) AS growth,
+                   count(*) OVER (PARTITION BY universe, date) AS members
+            FROM panel
         """,
+        "rets": _whole_dates("growth - 1", "growth IS NOT NULL"),
+        "log_rets": _whole_dates("ln(growth)", "growth > 0"),
     }
 
 
@@ -186,7 +199,8 @@ def _weights(rets):
 
 def _evaluated(rets):
     return portfolio.performance(
-        _weights(rets), _stats(rets), _cov(rets), RATE, portfolios=SAMPLES + 1
+        _weights(rets), _stats(rets), materialize(_cov(rets), "covariance"), RATE,
+        portfolios=SAMPLES + 1,
     )
 
 
@@ -278,7 +292,7 @@ query(
     "returns_log",
     lambda s, sf: panel.returns(_panel(s, sf), "log"),
     "universe symbol date:s ret:8",
-    with_tables("SELECT * REPLACE (log_ret AS ret) FROM rets", "dl", extra=DENSE_ALL),
+    with_tables("SELECT * FROM log_rets", "dl", extra=DENSE_ALL),
 )
 query(
     "latest_prices",
@@ -301,19 +315,19 @@ query(
 )
 query(
     "correlation_matrix",
-    on_returns(lambda rets: risk.correlation_matrix(risk.pair_moments(rets))),
+    on_returns(lambda rets: risk.mirrored(risk.correlation_matrix(risk.pair_moments(rets)))),
     "universe symbol_a symbol_b corr:8",
     with_tables("SELECT * FROM moments", "dl", extra=RISK),
 )
 query(
     "covariance_matrix",
-    on_returns(lambda rets: risk.covariance_matrix(risk.pair_moments(rets, 2), 252.0)),
+    on_returns(lambda rets: risk.mirrored(risk.covariance_matrix(risk.pair_moments(rets, 2), 252.0))),
     "universe symbol_a symbol_b cov:3",
     with_tables("SELECT * REPLACE (cov * 252 AS cov) FROM moments", "dl", extra=RISK),
 )
 query(
     "regularized_covariance",
-    on_returns(_cov),
+    on_returns(lambda rets: risk.mirrored(_cov(rets))),
     "universe symbol_a symbol_b cov:3",
     with_tables("SELECT * FROM cov", "dl", extra=RISK),
 )
@@ -383,21 +397,21 @@ query(
 query(
     "efficient_frontier",
     on_returns(
-        lambda rets: portfolio.frontier(materialize(_evaluated(rets), "evaluated"), 20)
+        lambda rets: portfolio.frontier(materialize(_evaluated(rets), "evaluated"))
     ),
     "universe portfolio_id mean_ann:5 vol_ann:5 sharpe:5",
     with_tables(
-        """
+        f"""
         SELECT * FROM (
           SELECT *, max(mean_ann) OVER (PARTITION BY universe ORDER BY vol_ann, mean_ann
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far
           FROM (
             SELECT e.* FROM evaluated e
             JOIN (SELECT universe, min(mean_ann) AS lo, max(mean_ann) AS hi,
-                         (max(mean_ann) - min(mean_ann)) / 20 AS step
-                  FROM evaluated GROUP BY 1) s USING (universe), range(20) AS r(b)
+                         (max(mean_ann) - min(mean_ann)) / {FRONTIER_POINTS} AS step
+                  FROM evaluated GROUP BY 1) s USING (universe), range({FRONTIER_POINTS}) AS r(b)
             WHERE mean_ann >= lo + b * step
-              AND mean_ann <= CASE WHEN b = 19 THEN hi ELSE lo + (b + 1) * step END
+              AND mean_ann <= CASE WHEN b = {FRONTIER_POINTS - 1} THEN hi ELSE lo + (b + 1) * step END
             QUALIFY row_number() OVER (PARTITION BY universe, b
                                        ORDER BY vol_ann, portfolio_id) = 1))
         WHERE so_far IS NULL OR mean_ann >= so_far - 1e-12
@@ -406,11 +420,6 @@ query(
         extra=CHOICE,
     ),
 )
-query(
-    "analytic_weights",
-    on_returns(lambda rets: portfolio.analytic_weights(_stats(rets), _cov(rets), RATE)),
-    "universe portfolio_id symbol weight:6",
-)
 query(
     "portfolio_study",
     lambda s, sf: portfolio.select_best(
@@ -418,11 +427,71 @@ query(
             d.daily_bars(s, sf, "l_linenumber"),
             _universes(s, sf),
             splits=_line_split_factors(s, sf),
-            n_samples=SAMPLES,
         ).evaluated,
         "max-sharpe",
     ),
     "universe objective portfolio_id mean_ann:5 vol_ann:5 sharpe:5",
+    with_tables(
+        "SELECT *, 'max-sharpe' AS objective FROM evaluated WHERE sharpe IS NOT NULL"
+        " QUALIFY row_number() OVER (PARTITION BY universe"
+        " ORDER BY sharpe DESC, portfolio_id) = 1",
+        "dl",
+        "sfl",
+        extra={
+            "adjusted": sql.asof_factor("dl", "sfl", "execution_date"),
+            **CHOICE,
+            "closes": DENSE["closes"].replace("FROM dl", "FROM adjusted"),
+        },
+    ),
+)
+
+# --- closes that are zero or below, on different dates of different symbols -------------------
+
+GAPS = {
+    **RISK,
+    "closes": """
+        SELECT universe, symbol, session_end_date AS date,
+               CASE WHEN symbol = '1' AND day(session_end_date) = 5 THEN 0
+                    WHEN symbol = '2' AND day(session_end_date) = 9 THEN -close
+                    ELSE close END AS close
+        FROM dl JOIN universes USING (instrument_key, symbol)
+    """,
+}
+
+
+def _returns_with_gaps(s, sf, kind):
+    closes, members = _dense_closes(s, sf)
+    day, symbol = F.dayofmonth("date"), F.col("symbol")
+    close = (
+        F.when((symbol == "1") & (day == 5), 0.0)
+        .when((symbol == "2") & (day == 9), -F.col("close"))
+        .otherwise(F.col("close"))
+    )
+    rows = panel.price_panel(closes.withColumn("close", close), members)
+    return materialize(panel.returns(rows, kind), "returns")
+
+
+for _kind, _table in (("simple", "rets"), ("log", "log_rets")):
+    query(
+        f"returns_{_kind}_with_gaps",
+        lambda s, sf, kind=_kind: _returns_with_gaps(s, sf, kind),
+        "universe symbol date:s ret:8",
+        with_tables(f"SELECT * FROM {_table}", "dl", extra=GAPS),
+    )
+query(
+    "moments_with_gaps",
+    lambda s, sf: risk.pair_moments(_returns_with_gaps(s, sf, "log"), 2),
+    "universe symbol_a symbol_b cov:5 corr:6 n_obs",
+    with_tables(
+        """
+        SELECT universe, a.symbol AS symbol_a, b.symbol AS symbol_b,
+               covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr, count(*) AS n_obs
+        FROM log_rets a JOIN log_rets b USING (universe, date)
+        WHERE a.symbol <= b.symbol GROUP BY 1, 2, 3
+        """,
+        "dl",
+        extra=GAPS,
+    ),
 )
 
 # --- allocation -----------------------------------------------------------------------------

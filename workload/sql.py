@@ -274,7 +274,10 @@ def with_tables(body: str, *needed: str, extra: dict[str, str] | None = None) ->
     for name in needed:
         visit(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order]
-    parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
+    # a recursive table can't be materialised
+    parts += [
+        f"{n} AS {'' if n in q.split() else 'MATERIALIZED '}({q})" for n, q in (extra or {}).items()
+    ]
     return f"WITH {', '.join(parts)}\n{body}" if parts else body
 
 

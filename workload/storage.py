@@ -331,15 +331,22 @@ query(
 )
 query(
     "column_manifest",
-    lambda s, sf: store.column_manifest(
-        d.minute_bars(s, sf).select("ticker", "window_start", "close", "volume")
-    ),
+    lambda s, sf: store.column_manifest(d.minute_bars(s, sf)),
     "column non_null dtype",
     with_tables(
         """
-        SELECT c AS "column", (SELECT count(*) FROM mb) AS non_null, t AS dtype
-        FROM (VALUES ('ticker', 'string'), ('window_start', 'timestamp_ntz'),
-                     ('close', 'double'), ('volume', 'bigint')) v(c, t)
+        SELECT unnest(['instrument_key', 'instrument_type', 'symbol', 'resolution', 'ticker',
+                       'window_start', 'session_end_date', 'open', 'high', 'low', 'close',
+                       'volume', 'transactions', 'dollar_volume', 'product_code']) AS "column",
+               unnest([count(instrument_key), count(instrument_type), count(symbol),
+                       count(resolution), count(ticker), count(window_start),
+                       count(session_end_date), count(open), count(high), count(low),
+                       count(close), count(volume), count(transactions), count(dollar_volume),
+                       count(symbol)]) AS non_null,
+               unnest(['string', 'string', 'string', 'string', 'string', 'timestamp_ntz', 'date',
+                       'double', 'double', 'double', 'double', 'bigint', 'bigint', 'double',
+                       'string']) AS dtype
+        FROM mb
         """,
         "mb",
     ),
@@ -347,9 +354,9 @@ query(
 
 
 def _exported(s, sf):
-    """Daily bars exported as CSV and read again."""
+    """Daily bars, all columns, exported as CSV and read again."""
     path = scratch_path(s, "export") + ".csv"
-    rows = d.daily_bars(s, sf).select("instrument_key", "window_start", "close", "volume")
+    rows = d.daily_bars(s, sf)
     store.export_frame(rows, path)
     return s.read.option("header", True).schema(rows.schema).csv(path)
 
@@ -357,7 +364,8 @@ def _exported(s, sf):
 query(
     "export_csv",
     _exported,
-    "instrument_key window_start:s close:6 volume",
+    f"instrument_key instrument_type symbol resolution window_start:s session_end_date:s ticker {OHLC} "
+    "volume transactions",
     with_tables("SELECT * FROM db", "db"),
 )
 
