@@ -27,7 +27,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """
     newest = W.partitionBy(*BAR_KEY).orderBy(*_newest_first(runs))
     ranked = runs.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
-    return ranked.drop("_rank", "row_index")
+    return ranked.drop("_rank")
 
 
 def merge_report(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.instruments import instrument_key
@@ -42,6 +42,42 @@ CHART = (
 )
 
 
+def read_payloads(spark: SparkSession, root: str, *, whole_files: bool = False) -> DataFrame:
+    """Landed JSON as column ``payload``, one per line or per file.
+
+    What identifies a payload (product, instrument) is in its folders' names
+    (``symbol=...``) and becomes columns of text.
+    """
+    reader = spark.read.option("wholetext", whole_files)
+    rows = reader.text(root).withColumnRenamed("value", "payload")
+    names = [F.col(c).cast("string").alias(c) for c in rows.columns if c != "payload"]
+    return rows.select(*names, "payload")
+
+
+def rejects(payloads: DataFrame, *, time: str) -> DataFrame:
+    """What the bar readers leave out, with the reason and the offending text.
+
+    ``time`` is the payloads' time field. A payload that is no JSON object with a
+    list of results is one row; of the others every result without a readable
+    epoch is one.
+    """
+    keep = [c for c in payloads.columns if c != "payload"]
+    parsed = payloads.withColumn(
+        "_results", F.from_json("payload", f"results array<struct<{time}: string>>")["results"]
+    )
+    unread = parsed.filter("_results IS NULL AND payload IS NOT NULL").select(
+        *keep, F.lit("unreadable payload").alias("reason"), F.col("payload").alias("text")
+    )
+    empty = parsed.filter("payload IS NULL").select(
+        *keep, F.lit("no payload").alias("reason"), F.lit(None).cast("string").alias("text")
+    )
+    epochs = parsed.select(*keep, F.inline("_results")).filter(F.col(time).try_cast("bigint").isNull())
+    malformed = epochs.select(
+        *keep, F.lit("malformed epoch").alias("reason"), F.col(time).alias("text")
+    )
+    return unread.unionByName(empty).unionByName(malformed)
+
+
 def _results(payloads: DataFrame, item: str, keep: list[str]) -> DataFrame:
     """Rows of a ``{"results": [...]}`` payload held in column ``payload``."""
     parsed = F.from_json("payload", f"results array<struct<{_typed(item)}>>")
@@ -61,14 +97,17 @@ def _day(text: str) -> Column:
 
 
 def futures_bars(payloads: DataFrame) -> DataFrame:
-    """Futures bars: epoch nanoseconds and ISO session dates; keyed by product."""
+    """Futures bars: epoch nanoseconds and ISO session dates; keyed by product.
+
+    Rows without a readable epoch are left to :func:`rejects`; numbers out of range are null.
+    """
     rows = _results(payloads, FUTURES_BAR, ["product_code"])
     return rows.withColumns(
         {
-            "window_start": _epoch(F.expr("CAST(window_start AS BIGINT) DIV 1000")),
+            "window_start": _epoch(F.expr("try_cast(window_start AS BIGINT) DIV 1000")),
             "session_end_date": _day("session_end_date"),
-            "volume": F.col("volume").cast("bigint"),
-            "transactions": F.col("transactions").cast("bigint"),
+            "volume": F.col("volume").try_cast("bigint"),
+            "transactions": F.col("transactions").try_cast("bigint"),
             "instrument_type": F.lit("futures"),
             "symbol": F.col("product_code"),
             KEY: instrument_key(F.lit("futures"), F.col("product_code")),
@@ -79,12 +118,13 @@ def futures_bars(payloads: DataFrame) -> DataFrame:
 def v2_bars(payloads: DataFrame) -> DataFrame:
     """Short-named bars of single-symbol instruments: epoch milliseconds.
 
-    Dollar volume is volume times vwap; the session date is the UTC date.
+    Dollar volume is volume times vwap; the session date is the UTC date. Rows
+    without a readable epoch are left to :func:`rejects`.
     """
     identity = ["instrument_type", "symbol"]
     rows = _results(payloads, V2_BAR, identity)
-    start = _epoch(F.col("t").cast("bigint") * 1000)
-    return rows.select(
+    start = _epoch(F.try_multiply(F.col("t").try_cast("bigint"), F.lit(1000)))
+    return rows.filter(start.isNotNull()).select(
         instrument_key(F.col("instrument_type"), F.col("symbol")).alias(KEY),
         *identity,
         F.lit("1min").alias("resolution"),
@@ -129,7 +169,7 @@ def chart_bars(payloads: DataFrame) -> DataFrame:
         "high",
         "low",
         "close",
-        F.coalesce(F.col("volume").cast("bigint"), F.lit(0)).alias("volume"),
+        F.coalesce(F.col("volume").try_cast("bigint"), F.lit(0)).alias("volume"),
     )
 
 

@@ -1,7 +1,10 @@
 """Parquet tables of the store: raw runs, merged bars, manifest and exports.
 
-Bars are partitioned by instrument type, symbol, resolution and month, so that
-a query prunes to what it reads and a merge rewrites only the months it touched.
+Bars are partitioned by instrument type, resolution and month, so that a query
+prunes to what it reads and a merge rewrites only the months it touched. Inside,
+ranges of (symbol, time) are sorted into files: row-group statistics prune the
+symbol, a symbol that fills a month spreads over several files, and the number
+of files grows with the data, not with the number of symbols.
 """
 
 from __future__ import annotations
@@ -15,19 +18,31 @@ from barloom.operators.lookup import lookup_join
 from barloom.operators.merge import merge_report
 from barloom.schema import BARS, KEY
 
-PARTITIONS = ["instrument_type", "symbol", "resolution", "month"]
+PARTITIONS = ["instrument_type", "resolution", "month"]
+#: Order of the rows of a run, kept so that repeats inside it can be told apart later.
+SEQUENCE = "row_index"
 _STORED = [f for f in BARS.fields if f.name not in (KEY, *PARTITIONS)]
-STORED = T.StructType(_STORED + [T.StructField(c, T.StringType()) for c in PARTITIONS])
-RUN_PATTERN = r"run_id=([0-9]{8}T[0-9]{6})"
-
-
-def conform(bars: DataFrame) -> DataFrame:
-    """Bars with the fixed schema: missing columns become null, extra ones are dropped."""
+STORED = T.StructType(
+    [
+        *_STORED,
+        T.StructField(SEQUENCE, T.LongType()),
+        *[T.StructField(c, T.StringType()) for c in PARTITIONS],
+    ]
+)
+#: Raw runs: the run is the outermost partition.
+RUNS = T.StructType(
+    [f for f in STORED.fields if f.name not in ("run_id", *PARTITIONS)]
+    + [T.StructField(c, T.StringType()) for c in ("run_id", *PARTITIONS)]
+)
+
+
+def conform(bars: DataFrame, *more: str) -> DataFrame:
+    """Bars with the fixed schema: missing columns become null, extra ones but ``more`` go."""
     columns = []
     for field in BARS.fields:
         source = F.col(field.name) if field.name in bars.columns else F.lit(None)
         columns.append(source.cast(field.dataType).alias(field.name))
-    named = bars.select(*columns)
+    named = bars.select(*columns, *more)
     key = instrument_key(F.col("instrument_type"), F.col("symbol"))
     return named.withColumn(KEY, F.coalesce(KEY, key)).withColumn(
         "product_code", F.coalesce("product_code", "symbol")
@@ -38,36 +53,51 @@ def with_month(bars: DataFrame) -> DataFrame:
     return bars.withColumn("month", F.date_format("window_start", "yyyy-MM"))
 
 
+def _in_files(stored: DataFrame) -> DataFrame:
+    """Sorted ranges; a task writes neighbouring symbols, so into few folders."""
+    order = [*PARTITIONS, "symbol", "window_start"]
+    return stored.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def save_run(bars: DataFrame, root: str, run_id: str) -> None:
-    """Append one immutable run. Its id is part of the path and cannot change later."""
-    stored = with_month(conform(bars)).drop("run_id", KEY)
-    stored.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{root}/run_id={run_id}")
+    """Store one immutable run; an existing run id is an error.
+
+    The id is part of the path and cannot change later. Rows are numbered in
+    the order in which they come.
+    """
+    numbered = conform(bars).withColumn(SEQUENCE, F.monotonically_increasing_id())
+    stored = with_month(numbered).drop("run_id", KEY)
+    _in_files(stored).write.mode("errorifexists").partitionBy(*PARTITIONS).parquet(
+        f"{root}/run_id={run_id}"
+    )
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """All raw runs as one table.
+    """All raw runs as one table; ``row_index`` keeps the order inside a run.
 
-    ``run_id`` comes from the file path and overwrites a stored value;
-    ``row_index`` keeps the order inside a file. Columns a run lacks are null.
+    ``run_id`` is a partition column, so a filter on it prunes folders. Columns
+    a run lacks are null.
     """
-    schema = T.StructType([f for f in STORED.fields if f.name != "run_id"])
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(root)
+    return as_bars(spark.read.schema(RUNS).parquet(root))
+
+
+def as_bars(rows: DataFrame) -> DataFrame:
+    """Stored rows with the columns of bars and their order inside the run."""
     return (
-        rows.select("*", "_metadata.file_path", F.col("_metadata.row_index").alias("row_index"))
-        .withColumn("run_id", F.regexp_extract("file_path", RUN_PATTERN, 1))
-        .withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))
+        rows.withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))
         .withColumn("product_code", F.coalesce("product_code", "symbol"))
-        .drop("file_path", "month")
-        .select(*[f.name for f in BARS.fields], "row_index")
+        .select(*[f.name for f in BARS.fields], SEQUENCE)
     )
 
 
 def write_bars(bars: DataFrame, root: str) -> None:
-    """Replace the touched partitions; rows inside are in time order for row-group pruning."""
-    stored = with_month(conform(bars)).drop(KEY)
+    """Replace the touched partitions; files hold sorted ranges of (symbol, time)."""
+    sequence = F.col(SEQUENCE) if SEQUENCE in bars.columns else F.lit(None).cast("long")
+    columns = [F.col(c) for c in bars.columns if c != SEQUENCE]
+    numbered = bars.select(*columns, sequence.alias(SEQUENCE))
+    stored = with_month(conform(numbered, SEQUENCE)).drop(KEY)
     (
-        stored.repartition(*PARTITIONS)
-        .sortWithinPartitions(*PARTITIONS, "window_start")
+        _in_files(stored)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
@@ -100,10 +130,10 @@ def touched_months(bars: DataFrame) -> DataFrame:
 
 
 def bars_in_partitions(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
-    """Stored bars of the given partitions only.
+    """Stored bars of the given partitions only, with their order inside their run.
 
     The months, at most a few hundred, prune the scan statically; the join then
-    prunes the instruments' folders while it runs.
+    prunes types and tracks while it runs.
     """
     stored = spark.read.schema(STORED).parquet(root)
     months = [r.month for r in touched.select("month").distinct().collect()]
@@ -113,8 +143,7 @@ def bars_in_partitions(spark: SparkSession, root: str, touched: DataFrame) -> Da
         stored.filter(F.col("month").isin(months)), wanted, PARTITIONS, how="inner",
         spread_by=["window_start"],
     )
-    keyed = kept.withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))
-    return keyed.select(*[f.name for f in BARS.fields])
+    return as_bars(kept)
 
 
 def manifest(runs: DataFrame, *, fetched_at: str) -> DataFrame:

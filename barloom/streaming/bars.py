@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from barloom.schema import KEY, VOLUMES
 
 
-def tumbling_bars(bars: DataFrame, k_minutes: int, *, overlap: str = "1 day") -> DataFrame:
-    """k-minute bars by the clock; rows later than ``overlap`` are dropped.
+def tumbling_bars(
+    bars: DataFrame, k_minutes: int, *, overlap: str = "1 day", by: list[str] = [KEY]
+) -> DataFrame:
+    """k-minute bars by the clock from merged minutes; streamed rows later than ``overlap`` go.
 
-    A minute sent again inside the overlap is counted once. The session-anchored
-    form needs a session's first bar and therefore stays a batch operator.
+    Of a minute that a stream sends again inside the overlap the first arrival
+    counts: raw runs, in which a later run corrects a minute, go through
+    :func:`barloom.streaming.merge.start_bars`. The session-anchored form needs a
+    session's first bar and therefore stays a batch operator.
     """
     timed = bars.withColumn("event_time", F.col("window_start").cast("timestamp")).withWatermark(
         "event_time", overlap
@@ -22,7 +26,7 @@ def tumbling_bars(bars: DataFrame, k_minutes: int, *, overlap: str = "1 day") ->
     else:
         once = timed.dropDuplicates([KEY, "ticker", "window_start"])
     sums = [F.sum(c).alias(c) for c in VOLUMES if c in bars.columns]
-    grouped = once.groupBy(KEY, F.window("event_time", f"{k_minutes} minutes").alias("w")).agg(
+    grouped = once.groupBy(*by, F.window("event_time", f"{k_minutes} minutes").alias("w")).agg(
         F.min_by("open", "event_time").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),

@@ -5,49 +5,81 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from barloom.functions.instruments import instrument_key
 from barloom.operators.merge import merge_runs
-from barloom.schema import BARS, KEY
+from barloom.schema import KEY
+from barloom.session import materialize
 from barloom.sources.store import (
-    RUN_PATTERN,
-    STORED,
+    PARTITIONS,
+    RUNS,
+    SEQUENCE,
+    as_bars,
     bars_in_partitions,
     conform,
     touched_months,
+    with_month,
     write_bars,
 )
+from barloom.streaming.bars import tumbling_bars
 
+#: Run files of one batch, so that a first start over a long history is no single job.
+FILES_PER_BATCH = 256
 
-def landed_runs(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of run files; the run id is taken from the path."""
-    schema = T.StructType([f for f in STORED.fields if f.name != "run_id"])
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = reader.parquet(root)
-    return (
-        rows.withColumn("run_id", F.regexp_extract("_metadata.file_path", RUN_PATTERN, 1))
-        .withColumn(KEY, instrument_key(F.col("instrument_type"), F.col("symbol")))
-        .select(*[f.name for f in BARS.fields])
-    )
+
+def landed_runs(
+    spark: SparkSession, root: str, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
+    """Stream of run files with the order of their rows inside the run."""
+    reader = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", files_per_batch)
+    return as_bars(reader.parquet(root))
+
+
+def _stored(spark: SparkSession, bars_root: str, touched: DataFrame) -> DataFrame | None:
+    """Bars of the touched months, None before the first batch; any other error is raised."""
+    try:
+        return bars_in_partitions(spark, bars_root, touched)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def merge_batch(batch: DataFrame, bars_root: str) -> None:
     """Merge one batch into the months it touches and replace just those.
 
-    A replayed batch finds its own rows already stored and changes nothing.
+    A replayed batch finds its own rows already stored and changes nothing. The
+    merged months are written to the shared folder before the table's folders
+    are replaced, as these are read by the same plan.
     """
-    fresh = conform(batch).persist()
+    if SEQUENCE not in batch.columns:
+        batch = batch.withColumn(SEQUENCE, F.lit(None).cast("long"))
+    fresh = conform(batch, SEQUENCE).persist()
     try:
-        stored = bars_in_partitions(batch.sparkSession, bars_root, touched_months(fresh))
-    except AnalysisException:  # the first batch finds no table yet
-        stored = None
-    merged = fresh if stored is None else stored.unionByName(fresh)
-    write_bars(merge_runs(merged), bars_root)
-    fresh.unpersist()
+        stored = _stored(batch.sparkSession, bars_root, touched_months(fresh))
+        merged = fresh if stored is None else stored.unionByName(fresh)
+        write_bars(materialize(merge_runs(merged), "merged-months"), bars_root)
+    finally:
+        fresh.unpersist()
+
+
+def bars_batch(batch: DataFrame, bars_root: str, out_root: str, k_minutes: int) -> None:
+    """Merge one batch, then replace the k-minute bars of the months it touches.
+
+    The k-minute bars come from merged minutes, so the last run of a minute
+    counts, and windows that may still grow are there as well.
+    """
+    merge_batch(batch, bars_root)
+    touched = touched_months(batch)
+    minutes = bars_in_partitions(batch.sparkSession, bars_root, touched)
+    bars = tumbling_bars(minutes, k_minutes, by=[*PARTITIONS[:2], "symbol", KEY])
+    (
+        with_month(bars)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS)
+        .parquet(out_root)
+    )
 
 
 def start_merge(
@@ -60,3 +92,17 @@ def start_merge(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def start_bars(
+    runs: DataFrame, bars_root: str, out_root: str, k_minutes: int, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Start the merge together with the k-minute bars that follow from it."""
+    return (
+        runs.writeStream.foreachBatch(
+            lambda batch, _id: bars_batch(batch, bars_root, out_root, k_minutes)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -34,7 +34,7 @@ def test_row_order_breaks_ties_inside_a_run(make_bars):
     )
     merged = merge_runs(twice)
     assert [r.open for r in merged.collect()] == [2.0]
-    assert "row_index" not in merged.columns
+    assert [r.row_index for r in merged.collect()] == [2]
 
 
 def test_merge_report_counts(make_bars):

@@ -6,7 +6,7 @@ from barloom.session import scratch_path
 from barloom.sources import store
 from barloom.streaming.bars import tumbling_bars
 from barloom.streaming.freshness import freshness_view, start_monitor
-from barloom.streaming.merge import landed_runs, merge_batch, start_merge
+from barloom.streaming.merge import landed_runs, merge_batch, start_bars, start_merge
 
 
 @pytest.fixture()
@@ -45,6 +45,46 @@ def test_later_landing_continues_and_a_replay_changes_nothing(spark, landed, mak
     assert _rows(store.read_bars(spark, bars)) == expected
 
 
+def test_repeats_inside_a_run_and_corrections_reach_the_stream(spark, make_bars):
+    root, bars = scratch_path(spark, "raw"), scratch_path(spark, "bars")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    times = [f"2025-06-02 09:{m:02d}" for m in range(20)]
+    store.save_run(make_bars([(t, p) for p in (1, 2, 3) for t in times]), root, "20250601T000000")
+    store.save_run(make_bars([(times[4], 50)]), root, "20250602T000000")
+    start_bars(landed_runs(spark, root, 1), bars, out, 5, checkpoint).awaitTermination()
+    batch = merge_runs(store.read_runs(spark, root))
+    assert _rows(store.read_bars(spark, bars)) == _rows(batch)
+    assert {r.open for r in batch.collect()} == {3.0, 50.0}
+    closes = {r.window_start.minute: (r.close, r.candle_count) for r in spark.read.parquet(out).collect()}
+    assert closes == {0: (50.5, 5), 5: (3.5, 5), 10: (3.5, 5), 15: (3.5, 5)}
+
+
+def test_a_run_is_stored_once_and_pruned_by_its_id(spark, landed, make_bars):
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        store.save_run(make_bars([("2025-06-01 10:00", 1)]), landed, "20250601T000000")
+    one = store.read_runs(spark, landed).filter("run_id = '20250602T000000'")
+    assert "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().toString()
+    assert one.count() == 10
+
+
+def test_files_do_not_grow_with_symbols(spark, make_bars):
+    root = scratch_path(spark, "raw")
+    many = make_bars([("2025-06-01 10:00", 1)])
+    for i in range(40):
+        many = many.unionByName(make_bars([("2025-06-01 10:00", i), ("2025-06-01 10:01", i)], symbol=f"S{i}"))
+    store.save_run(many, root, "20250601T000000")
+    assert len(spark.read.parquet(root).inputFiles()) <= 8
+
+
+def test_errors_other_than_a_missing_table_do_not_replace_it(spark, landed, tmp_path):
+    spoiled = tmp_path / "bars" / "instrument_type=stocks" / "resolution=1min" / "month=2025-05"
+    spoiled.mkdir(parents=True)
+    (spoiled / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        merge_batch(store.read_runs(spark, landed), str(tmp_path / "bars"))
+    assert (spoiled / "part-0.parquet").read_text() == "no parquet"
+
+
 def test_tumbling_bars_stream_equals_batch_on_closed_windows(spark, landed):
     bars = scratch_path(spark, "bars")
     store.write_bars(merge_runs(store.read_runs(spark, landed)), bars)

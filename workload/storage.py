@@ -10,9 +10,8 @@ from barloom.operators.planning import run_catalog
 from barloom.session import materialize, scratch_path
 from barloom.sources import landing, overlays, store
 from barloom.sources import tickers as shards
-from barloom.streaming.bars import tumbling_bars
 from barloom.streaming.freshness import freshness_view, start_monitor
-from barloom.streaming.merge import landed_runs, start_merge
+from barloom.streaming.merge import landed_runs, start_bars, start_merge
 from workload import derive as d
 from workload.registry import query
 from workload.sql import with_tables
@@ -47,9 +46,16 @@ def _futures_payloads(s, sf):
     )
 
 
+def _landed(s, payloads, keys):
+    """Payloads written to storage, a line each, and read back from there."""
+    root = scratch_path(s, "landed")
+    payloads.select(*keys, "payload").write.partitionBy(*keys).text(root)
+    return landing.read_payloads(s, root)
+
+
 query(
     "land_futures_bars",
-    lambda s, sf: landing.futures_bars(_futures_payloads(s, sf)),
+    lambda s, sf: landing.futures_bars(_landed(s, _futures_payloads(s, sf), ["product_code"])),
     f"instrument_key ticker window_start:s session_end_date:s {OHLC} volume transactions",
     with_tables("SELECT * FROM cb", "cb"),
 )
@@ -71,13 +77,42 @@ def _v2_payloads(s, sf):
 
 query(
     "land_v2_bars",
-    lambda s, sf: landing.v2_bars(_v2_payloads(s, sf)),
+    lambda s, sf: landing.v2_bars(
+        _landed(s, _v2_payloads(s, sf), ["instrument_type", "symbol"])
+    ),
     f"instrument_key ticker window_start:s session_end_date:s {OHLC} volume transactions "
     "dollar_volume:2 vwap:6",
     with_tables("SELECT *, close AS vwap FROM mb WHERE instrument_type <> 'futures'", "mb"),
 )
 
 
+def _spoiled_payloads(s, sf):
+    """Every event as a bar; some epochs are no numbers, and some days' payloads are cut off."""
+    events = d.table(s, sf, "events")
+    millis = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    spoiled = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), "event_id")).otherwise(millis)
+    day = F.to_date("ts").cast("string").alias("day")
+    item = F.struct(spoiled.alias("t"), F.col("value").alias("o"))
+    rows = _results(events, [F.upper("event_type").alias("symbol"), day], item)
+    cut = F.col("day").endswith("3")
+    text = F.when(cut, F.concat(F.lit("cut "), F.col("day"))).otherwise(F.col("payload"))
+    return rows.withColumn("payload", text)
+
+
+query(
+    "land_rejects",
+    lambda s, sf: landing.rejects(_landed(s, _spoiled_payloads(s, sf), ["symbol"]), time="t"),
+    "symbol reason text",
+    """
+    SELECT upper(event_type) AS symbol, 'malformed epoch' AS reason, 'x' || event_id AS text
+    FROM events WHERE event_id % 5 = 0 AND strftime(ts, '%Y-%m-%d') NOT LIKE '%3'
+    UNION ALL
+    SELECT DISTINCT upper(event_type), 'unreadable payload', 'cut ' || strftime(ts, '%Y-%m-%d')
+    FROM events WHERE strftime(ts, '%Y-%m-%d') LIKE '%3'
+    """,
+)
+
+
 def _chart_payloads(s, sf):
     """One daily chart per brand and year; bars of one trade lack their open or volume."""
     thin = F.col("transactions") == 1
@@ -457,22 +492,12 @@ query(
 
 
 def _stream_bars(s, sf):
-    """Closed 30-minute bars of the stream of stored bars, read back from the sink."""
-    source = s.readStream.schema(store.STORED).parquet(_stored_bars(s, sf))
-    keyed = source.withColumn(
-        "instrument_key", F.concat_ws(":", "instrument_type", "symbol")
-    )
-    sink, checkpoint = scratch_path(s, "stream-sink"), scratch_path(s, "checkpoint")
-    bars = tumbling_bars(keyed, 30, overlap="1 day")
-    (
-        bars.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return s.read.parquet(sink)
+    """30-minute bars kept up to date from the stream of raw runs, open windows included."""
+    bars_root, out = scratch_path(s, "stream-bars"), scratch_path(s, "stream-sink")
+    checkpoint = scratch_path(s, "checkpoint")
+    runs = landed_runs(s, _saved_runs(s, sf))
+    start_bars(runs, bars_root, out, 30, checkpoint).awaitTermination()
+    return s.read.parquet(out)
 
 
 query(
@@ -487,8 +512,6 @@ query(
                CAST(sum(volume) AS BIGINT) AS volume,
                CAST(sum(transactions) AS BIGINT) AS transactions
         FROM merged GROUP BY 1, 2
-        HAVING time_bucket(INTERVAL 30 MINUTE, window_start) + INTERVAL 30 MINUTE
-               <= (SELECT max(window_start) - INTERVAL 1 DAY FROM merged)
         """,
         "merged",
     ),
