@@ -7,21 +7,48 @@ from pyspark.sql import functions as F
 
 
 def _iso(name: str, rows: DataFrame) -> Column:
-    """ISO-8601 text; naive times are UTC and get a ``Z``."""
+    """ISO-8601 text; naive times are UTC and get a ``Z``; a fraction is kept where there is one."""
     moment = F.col(name)
     if dict(rows.dtypes)[name] == "string":
         return moment
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    whole = F.date_trunc("second", moment.cast("timestamp")) == moment.cast("timestamp")
+    return F.when(whole, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    )
 
 
 def list_overlays(backtests: DataFrame, instrument: str) -> DataFrame:
-    """Stored backtests of one instrument; those naming none belong to every instrument."""
-    named = F.coalesce(F.nullif("instrument", F.lit("")), F.lit(instrument))
+    """Overlay files of one instrument with their backtests and the one shown first.
+
+    ``backtests`` has a row (stem, position, backtest_id, instrument) per entry of
+    a file, and one without id for a file that has none. A file belongs to the
+    instrument of its first entry, or to every instrument if that names none. All
+    its ids are listed in their order; a file without entries lists itself.
+    """
+    entry = F.struct("position", "backtest_id")
+    named = F.col("backtest_id").isNotNull()
+    files = backtests.groupBy("stem").agg(
+        F.coalesce(
+            F.min_by("instrument", F.when(named, entry)), F.lit("")
+        ).alias("_instrument")
+    )
+    ids = (
+        backtests.filter(named)
+        .groupBy("stem", "backtest_id")
+        .agg(F.min("position").alias("position"))
+        .groupBy("stem")
+        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.backtest_id).alias("ids"))
+    )
     return (
-        backtests.withColumn("instrument", named)
-        .filter(F.col("instrument") == instrument)
-        .groupBy("stem", "instrument")
-        .agg(F.array_sort(F.collect_set("backtest_id")).alias("ids"))
+        files.filter((F.col("_instrument") == "") | (F.col("_instrument") == instrument))
+        .join(ids, "stem", "left")
+        .withColumn("ids", F.coalesce("ids", F.array("stem")))
+        .select(
+            "stem",
+            F.lit(instrument).alias("instrument"),
+            "ids",
+            F.element_at("ids", 1).alias("default_id"),
+        )
     )
 
 

@@ -316,6 +316,10 @@ def universes(spark: SparkSession, sf: str, by: str = "p_brand") -> DataFrame:
     return whole.unionByName(symbols.select(half.alias("universe"), key, "symbol"))
 
 
+#: Half a second more on every third order, so that some times have a fraction.
+FRACTION = "make_dt_interval(0, 0, 0, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END)"
+
+
 def overlay_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Backtests, transactions and orders from the orders table, one backtest per priority."""
     orders = table(spark, sf, "orders")
@@ -323,7 +327,7 @@ def overlay_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     side = F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy")
     transactions = orders.select(
         backtest.alias("backtest_id"),
-        F.col("o_orderdate").alias("time"),
+        (F.col("o_orderdate") + F.expr(FRACTION)).alias("time"),
         F.col("o_totalprice").alias("price"),
         side.alias("side"),
         F.col("o_orderstatus").alias("kind"),
@@ -336,11 +340,16 @@ def overlay_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
         side.alias("side"),
         F.lit("limit").alias("order_type"),
     )
-    backtests = orders.select(
-        F.concat(F.lit("run-"), F.year("o_orderdate")).alias("stem"),
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    entries = orders.select(
+        F.concat(F.lit("run-"), month).alias("stem"),
+        F.col("o_orderkey").alias("position"),
         backtest.alias("backtest_id"),
         F.when(F.col("o_orderstatus") == "O", "").otherwise(
             F.concat(F.lit("stocks:"), F.col("o_orderstatus"))
         ).alias("instrument"),
     )
+    # a file without entries for every year
+    empty = orders.select(F.concat(F.lit("empty-"), F.year("o_orderdate")).alias("stem")).distinct()
+    backtests = entries.unionByName(empty, allowMissingColumns=True)
     return backtests, transactions, placed

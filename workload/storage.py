@@ -437,12 +437,19 @@ query(
     lambda s, sf: overlays.list_overlays(d.overlay_tables(s, sf)[0], "stocks:F").withColumn(
         "ids", F.array_join("ids", ",")
     ),
-    "stem instrument ids",
+    "stem instrument ids default_id",
     """
-    SELECT 'run-' || year(o_orderdate) AS stem, 'stocks:F' AS instrument,
-           string_agg(DISTINCT 'bt-' || substr(o_orderpriority, 1, 1), ','
-                      ORDER BY 'bt-' || substr(o_orderpriority, 1, 1)) AS ids
-    FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1
+    SELECT stem, 'stocks:F' AS instrument, string_agg(id, ',' ORDER BY first, id) AS ids,
+           arg_min(id, (first, id)) AS default_id
+    FROM (SELECT 'run-' || strftime(o_orderdate, '%Y-%m') AS stem,
+                 'bt-' || substr(o_orderpriority, 1, 1) AS id, min(o_orderkey) AS first
+          FROM orders GROUP BY 1, 2)
+    JOIN (SELECT 'run-' || strftime(o_orderdate, '%Y-%m') AS stem,
+                 arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1) USING (stem)
+    WHERE status IN ('O', 'F') GROUP BY stem
+    UNION ALL
+    SELECT DISTINCT 'empty-' || year(o_orderdate), 'stocks:F', 'empty-' || year(o_orderdate),
+           'empty-' || year(o_orderdate) FROM orders
     """,
 )
 query(
@@ -450,7 +457,8 @@ query(
     lambda s, sf: overlays.load_transactions(d.overlay_tables(s, sf)[1], "bt-2"),
     "backtest_id time price:2 side kind",
     """
-    SELECT 'bt-2' AS backtest_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS time,
+    SELECT 'bt-2' AS backtest_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+             || CASE WHEN o_orderkey % 3 = 0 THEN '.500000Z' ELSE 'Z' END AS time,
            o_totalprice AS price, CASE o_orderstatus WHEN 'F' THEN 'sell' ELSE 'buy' END AS side,
            o_orderstatus AS kind
     FROM orders WHERE o_orderpriority LIKE '2%'
