@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from barloom.llm.base import free_name, text_of
 
-#: Bytes of text whose pre-tokens are held at once, and pre-tokens remembered by a task.
-CHUNK_BYTES = 2_000_000
-REMEMBERED = 400_000
+#: Bytes of text whose pre-tokens are held at once, and pre-tokens and pairs remembered by a task.
+CHUNK_BYTES = 1_000_000
+REMEMBERED = 120_000
 #: Largest vocabulary file shipped to executors.
 MAX_FILE_BYTES = 64_000_000
 
@@ -237,7 +237,7 @@ class Encoder:
         codes, back = np.unique(flat[inner] * v.size + flat[inner + 1], return_inverse=True)
         unknown = [c for c in codes.tolist() if c not in self.pairs]
         if unknown:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs, unknown = {}, codes.tolist()
             pairs = np.array(unknown, dtype=np.int64)
             held = v.compatible(pairs // v.size, pairs % v.size)
@@ -281,11 +281,21 @@ def vocabulary_file(path: str) -> str:
 
 
 def encoded(
-    docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+    docs: DataFrame,
+    vocabulary: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+    *,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """The documents with the token ids of their texts and the text decoded from the ids."""
+    """The documents with the token ids of their texts and the text decoded from the ids.
+
+    Without ``keep_text`` the text itself is left out, and not carried along.
+    """
     content = docs.sparkSession.sparkContext.broadcast(vocabulary_file(vocabulary))
-    kept = [c for c in docs.columns if c.lower() not in (ids.lower(), decoded.lower())]
+    dropped = {ids.lower(), decoded.lower(), *([] if keep_text else [text.lower()])}
+    kept = [c for c in docs.columns if c.lower() not in dropped]
     said = free_name(kept, "said")
     from_docs = docs.select(
         *[F.col(f"`{c}`") for c in kept], text_of(F.col(f"`{text}`")).alias(said)

@@ -68,7 +68,8 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = encoded(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tokens = encoded(docs, VOCABULARY, keep_text=False)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return tokens.select(
         "doc_id",

@@ -18,16 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barloom.llm.base import free_name, text_of
+from barloom.llm.base import text_of
 from barloom.llm.hashing import WordHasher, buffers, chunks, mixed
 
 DIMENSIONS = 1 << 22
 #: Bytes that make a word's stem.
 HEADS = (4, 5, 6)
 _WORD_BYTES = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_ORDER = [("id", "ascending"), ("label", "ascending"), ("size", "ascending")]
 #: Bias of a model without any labels.
 _UNKNOWN = -35.0
 _SEPARATORS = bytes(b for b in range(128) if b not in _WORD_BYTES)
@@ -77,10 +80,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, training: Training) -> tuple
     seen = np.zeros(DIMENSIONS, dtype=np.int32)
     for row in rows:
         seen[row] += 1
-    rows = [row[seen[row] >= training.rarest] for row in rows]
+    rows = [np.append(row[seen[row] >= training.rarest], DIMENSIONS) for row in rows]
+    del seen
     z = np.zeros(DIMENSIONS + 1)
     n = np.zeros(DIMENSIONS + 1)
-    rows = [np.append(row, DIMENSIONS) for row in rows]
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         over = np.maximum(np.abs(zs) - training.l1, 0.0)
@@ -96,9 +99,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, training: Training) -> tuple
             square = gradient * gradient
             z[row] = zs + gradient - (np.sqrt(ns + square) - np.sqrt(ns)) / training.alpha * w
             n[row] = ns + square
-    w = weights(z, n)
-    used = np.flatnonzero(w[:-1])
-    return used.astype(np.int32), w[used], float(w[-1])
+    touched = np.flatnonzero(n[:-1])
+    w = weights(z[touched], n[touched])
+    bias = weights(z[-1:], n[-1:])[0]
+    return touched[w != 0].astype(np.int32), w[w != 0], float(bias)
 
 
 def sampled_labels(
@@ -151,15 +155,21 @@ def train(
                     [
                         batch.column("id").slice(i, j - i),
                         batch.column("label").slice(i, j - i),
+                        pa.array(np.diff(limits), pa.int64()),
                         pa.array(blobs, pa.binary()),
                     ],
-                    names=["id", "label", "places"],
+                    names=["id", "label", "size", "places"],
                 )
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("label", "ascending"), ("places", "ascending")])
-        rows = [np.frombuffer(x, dtype=np.int32) for x in table.column("places").to_pylist()]
-        places, weights, bias = fit(rows, table.column("label").to_numpy(), training)
+        # the order must not depend on how the rows arrive
+        order = pc.sort_indices(table.select(["id", "label", "size"]), _ORDER).to_numpy()
+        rows = []
+        for batch in table.to_batches():
+            data, offsets = buffers(batch.column("places"))
+            rows += [data[a:b].view(np.int32) for a, b in zip(offsets[:-1], offsets[1:])]
+        labels = table.column("label").to_numpy()[order]
+        places, weights, bias = fit([rows[i] for i in order], labels, training)
         return pa.table(
             {
                 "place": pa.array(np.append(places, DIMENSIONS), pa.int32()),
@@ -167,7 +177,7 @@ def train(
             }
         )
 
-    schema = rows.select("id", "label").schema.add("places", "binary")
+    schema = rows.select("id", "label").schema.add("size", "long").add("places", "binary")
     return (
         rows.select("id", "label", "text")
         .mapInArrow(extract, schema)
@@ -187,12 +197,8 @@ def scored(
         (np.array(places, dtype=np.int32), np.array(weights, dtype=np.float32))
     )
     kept = [c for c in docs.columns if c.lower() != score.lower()]
-    said = free_name(kept, "said")
     columns = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = columns.schema.add(score, "double")
-    with_text = docs.select(
-        *[F.col(f"`{c}`") for c in kept], text_of(F.col(f"`{text}`")).alias(said)
-    )
+    schema = T.StructType([*columns.schema.fields, T.StructField(score, T.DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
@@ -200,7 +206,7 @@ def scored(
         weights[shipped.value[0]] = shipped.value[1]
         used = weights != 0
         for batch in batches:
-            data, offsets = buffers(batch.column(said))
+            data, offsets = buffers(batch.column(text))
             scores = np.zeros(len(batch))
             for i, j in chunks(offsets):
                 texts, places = features(hasher, data, offsets[i : j + 1])
@@ -212,4 +218,4 @@ def scored(
                 [*[batch.column(c) for c in kept], pa.array(scores)], names=[*kept, score]
             )
 
-    return with_text.mapInArrow(rate, schema)
+    return columns.mapInArrow(rate, schema)
