@@ -49,7 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text that they decode to."""
-    return encoded(docs, VOCABULARY).drop("text").withColumn(
+    return encoded(docs, VOCABULARY, keep_text=False).withColumn(
         "n_tokens", F.size("ids").cast("long")
     )
 
