@@ -1,4 +1,8 @@
-"""The bar query: one lazy plan over any number of instruments."""
+"""The bar query over any number of instruments: one lazy plan.
+
+Only multi-day and weekly bars start a job first: the first and last session of every instrument
+are written once, so that the bars are not read twice.
+"""
 
 from __future__ import annotations
 
