@@ -45,7 +45,11 @@ END = "</w>"
 
 # Code points that NFC leaves alone and of which the built-in module knows the letters.
 _LATIN = r"\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
-_PLAIN = re.compile(rf"[\x00-\x7f{_LATIN}]*")
+# The lower case of some (Ɛ, Ɓ, Ə) lies beyond the range; texts with them take the general way.
+_STAYING = "".join(
+    c for c in re.findall(rf"[{_LATIN}]", "".join(map(chr, range(0x250)))) if c.lower() < "\u0250"
+)
+_PLAIN = re.compile(rf"[\x00-\x7f{_STAYING}]*")
 _PLAIN_WORDS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ \t\n\r\f\va-z0-9{_LATIN}]+"
 )

@@ -68,6 +68,21 @@ def test_proposals_and_merges_equal_the_library(library):
         assert got == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_every_latin_letter_equals_the_library(spark, library):
+    """Letters of U+00C0..U+024F, some of which have a lower case beyond that range."""
+    latin = "".join(map(chr, range(0xC0, 0x250)))
+    pick = random.Random(15)
+    texts = [t for c in latin for t in (c, f"{c}na", f"a{c}b ba{c}")] + ["Ɗan Ɓauna", "Ɔkyeame"]
+    texts += ["".join(pick.choices(latin + "abc '1", k=30)) for _ in range(500)]
+    want = [library.encode(t, add_special_tokens=False) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.decoded) for r in encoded(docs, VOCABULARY).collect()}
+    said = [(w.ids, library.decode(w.ids, skip_special_tokens=False)) for w in want]
+    assert [got[i] for i in range(len(texts))] == said
+    counted = {r.doc_id: r.n_tokens for r in token_counts(docs, VOCABULARY).collect()}
+    assert [counted[i] for i in range(len(texts))] == [len(w.ids) for w in want]
+
+
 def test_encoded_documents_and_token_counts(spark, library):
     rows = [(i, t, None, "x") for i, t in enumerate(fuzz(5, 60))] + [(None, None, 1, "y"), (1, "b", 2, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, said int, decoded string")
