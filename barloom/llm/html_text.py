@@ -12,9 +12,11 @@ furniture start with counts that speak against them, so a page kind that no labe
 still read sensibly. What stands in furniture says nothing about the elements inside it.
 
 Defined cases: null or empty html, and a page without a word of positive score, give the empty text;
-markup may be malformed or cut off (an open script, comment or tag runs to the end); of runs with
-equal sums the first counts; a character reference that is no reference stays as it is; repeated
-rows are extracted each for itself; an empty table gives no rows; other columns are ignored.
+markup may be malformed or cut off (an open script, comment or tag runs to the end, an open drawing,
+object or list of choices hides nothing; a head without end ends where its content can't stand in
+one); of runs with equal sums the first counts; a character reference that is no reference stays as
+it is; repeated rows are extracted each for itself; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -62,16 +64,28 @@ WHOLE_PAGE = ("html", "body", "main")
 ABOUT_OTHERS = {"has", "with", "no", "without", "non"}
 #: Elements that only the next of their kind, or the end of what holds them, closes.
 LOOSE = "p li dt dd tr td th option b i em strong span a font u small".split()
+#: Tags of lists and tables, which are as usual in content as words.
+LISTING = "ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr td th".split()
+#: Elements whose content is skipped: to the end of the page where they aren't closed, or not at all.
+RAW, SKIPPED = (
+    "script style noscript textarea iframe title".split(),
+    "template svg math object select".split(),
+)
+#: Tags that may stand in a head.
+IN_HEAD = "base basefont bgsound link meta".split()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|select|head|title)"
-    r"\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW + SKIPPED)})(?=[\s/>]|\Z)"
+    r"(?P<how>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_RAW_TAGS = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW + SKIPPED}
+# a slash at the end of an unquoted value closes nothing
+_SELF_CLOSING = re.compile(r"(?:\A|[\s\"'])/\Z")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -107,12 +121,55 @@ class Piece:
     closing: bool = False
 
 
+def _tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tokens in page order without the elements whose content is skipped."""
+    place, never = 0, set()
+    while token := _TOKEN.match(page, place):
+        place = token.end()
+        tag = (token["raw"] or "").lower()
+        if not tag:
+            # what closes an element that is skipped, or isn't there, is no tag
+            if (token["tag"] or "").lower() not in _RAW_TAGS:
+                yield token
+        else:
+            closed = _SELF_CLOSING.search(token["how"])
+            if closed and tag in ("svg", "math"):
+                continue
+            # the page is searched to its end once per tag
+            after = None if tag in never else _RAW_TAGS[tag].search(page, place)
+            if closed and (after is None or not after[1]):
+                # the next tag of its kind opens another, so this one was closed by itself
+                if after is None:
+                    never.add(tag)
+                continue
+            while after and not after[1]:
+                after = _RAW_TAGS[tag].search(page, after.end())
+            if after:
+                place = after.end()
+            elif tag in RAW:
+                return
+            else:
+                never.add(tag)
+
+
 def pieces(page: str) -> Iterator[Piece]:
     """Text runs and tags in page order; scripts, styles, comments and the head are skipped."""
     stack: list[tuple[str, list[str]]] = []
     names: tuple[str, ...] = ()
-    for token in _TOKEN.finditer(page):
+    in_head = False
+    for token in _tokens(page):
         text, tag = token["text"], token["tag"]
+        if tag and tag.lower() == "head":
+            in_head = not token["end"]
+            continue
+        if in_head:
+            if text is not None:
+                in_head = text.isspace()
+            elif tag:
+                tag = tag.lower()
+                in_head = tag not in ("body", "html", "br") if token["end"] else tag in IN_HEAD
+            if in_head:
+                continue
         if text is not None:
             yield Piece(names, text=text)
         elif tag:
@@ -130,7 +187,7 @@ def pieces(page: str) -> Iterator[Piece]:
                 if tag not in INLINE:
                     while stack and stack[-1][0] in LOOSE and tag in _CLOSES.get(stack[-1][0], ()):
                         stack.pop()
-                if tag not in VOID and not token["rest"].endswith("/"):
+                if tag not in VOID and not _SELF_CLOSING.search(token["rest"]):
                     stack.append((tag, _names(tag, token["rest"])))
             names = tuple(n for _, ns in stack for n in ns)
             if not closing:
@@ -164,8 +221,12 @@ class Weights:
         worst = min([self.names.get(n, -1.0 if n in _FURNITURE else 0.5) for n in around] or [0.5])
         return FURNITURE_COST * worst if worst < 0 else 1.0
 
-    def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.1 if name in INLINE else -0.4)
+    def tag(self, name: str, around: tuple[str, ...] = ()) -> float:
+        """Tags of furniture are left out with it and cost nothing; those of lists cost little."""
+        if self.word(around) < 0:
+            return 0.0
+        cost = self.tags.get(name, -0.1 if name in INLINE else -0.4)
+        return max(cost, -0.1) if name in LISTING else cost
 
 
 def counted(page: str) -> Counter[tuple[str, str, bool]]:
@@ -219,7 +280,7 @@ def extract(page: str, weights: Weights) -> str:
     for i, p in enumerate(found):
         if p.text is None:
             scores.append(0.0)
-            total += weights.tag(p.tag)
+            total += weights.tag(p.tag, p.names)
         else:
             scores.append(weights.word(p.names))
             total += scores[-1] * len(html.unescape(p.text).split())

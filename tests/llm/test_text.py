@@ -248,6 +248,37 @@ def test_run_with_the_greatest_sum_is_found():
     assert extract("a<hr>c d e<hr>f", weights) == "c d e"
 
 
+WHOLE = {
+    "<html><head><meta><title>t</title><body><article>one two": "one two",
+    "<head><link rel=x>\n<script>a</script><p>one": "one", "<head><title>t</title>one <b>two": "one two",
+    "<head><style>a</style></head><p>one</head> two": "one two",
+    "<p>one <svg/> two three</p><p>four": "one two three four",
+    "<p>one <svg width='1' /> two <svg><text>no</text></svg> three": "one two three",
+    "<p>one <svg> two": "one two", "<p>one <math> two <object data=x> three": "one two three",
+    "<head-line>one</head-line> two": "one two", "<p>one<svg-icon></svg-icon> two": "one two",
+    "<script src=x />a()</script>one": "one", "<script src=x /><p>one<script>a()</script> two": "one two",
+    "<script src=http://x/>a()</script>one": "one", "<p>one<iframe src='x'/> two": "one two",
+    "<title>no</title><p>one<style>x": "one", "<script src=a\">if (1) b()</script>one": "one",
+}
+
+
+@pytest.mark.parametrize("page", list(WHOLE))
+def test_open_and_self_closing_elements_hide_no_text(page):
+    assert extract(page, Weights()) == WHOLE[page]
+
+
+@pytest.mark.parametrize("weights", [Weights(), Weights(tags={t: -1.5 for t in ("li", "tr", "td", "ul")})])
+def test_lists_within_an_article_do_not_cut_it(weights):
+    links = "<li><a href=x>go</a></li>" * 50
+    cells = "<tr><td>v</td></tr>" * 50
+    for inner, said in (
+        (f"<ul>{links}</ul>", "go " * 50), (f"<nav><ul>{links}</ul></nav>", ""),
+        (f"<table>{cells}</table>", "v " * 50), (f"<div class=related><div>{links}</div></div>", ""),
+    ):
+        page = f"<article><p>{FILL} start</p>{inner}<p>{FILL} end</p></article>"
+        assert extract(page, weights) == f"{FILL} start {said}{FILL} end"
+
+
 def test_toxic_words_are_learnt(spark):
     pick = random.Random(13)
     rows, marks = [], []
