@@ -71,8 +71,12 @@ def _bisected(shares: DataFrame, holds: Callable[[float, float, float], bool]) -
     return high
 
 
-def fit_exponent(sources: DataFrame, mixture: Mixture) -> tuple[float, int]:
-    """Exponent and token budget for a table (source, n_tokens, n_docs)."""
+def fit_exponent(sources: DataFrame, mixture: Mixture) -> tuple[float, float]:
+    """Exponent and token budget for a table (source, n_tokens, n_docs).
+
+    A derived budget isn't rounded, or the largest source would miss its one
+    epoch by a part of a token.
+    """
     n, total, most, least = sources.agg(
         F.count(F.lit(1)), F.sum("n_tokens"), F.max("n_tokens"), F.min("n_tokens")
     ).first()
@@ -99,7 +103,7 @@ def fit_exponent(sources: DataFrame, mixture: Mixture) -> tuple[float, int]:
     if mixture.budget is not None:
         return exponent, mixture.budget
     powers = shares.agg(F.sum(F.exp(F.lit(exponent) * F.col("log_share")))).first()[0]
-    return exponent, round(total * budget_over_total(exponent, powers))
+    return exponent, total * budget_over_total(exponent, powers)
 
 
 def _prepared(docs: DataFrame, key: str, text: str, source: str, mixture: Mixture) -> DataFrame:

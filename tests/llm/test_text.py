@@ -222,6 +222,15 @@ def test_draws_keep_to_the_budgets(spark):
     assert mixed(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeats", [1.3, 1.5, 1.7])
+def test_small_sources_keep_their_whole_epoch(spark, repeats):
+    rows = [(i, "w", "a" if i < 101 else "b") for i in range(152)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draws = mixing_draws(docs, Mixture(entropy=1.0, max_repeats=repeats)).collect()
+    assert sorted(r.doc_id for r in draws if r.source == "a") == list(range(101))
+    assert {r.doc_id for r in draws if r.source == "b"} == set(range(101, 152))
+
+
 FILL = " ".join(["word"] * 25)
 PAGES = {
     f"<body class='has-sidebar'><nav>{FILL}</nav><div class=ad>{FILL}</div><article><h1>T</h1><p><b>a&amp;b"
