@@ -59,6 +59,16 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), turn)
 
 
+def learnt_text(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, one after the other."""
+
+    def body(span: Column) -> Column:
+        start = (span["start"] + 1).cast("int")
+        return unescape(F.substr(formatted, start, span["length"].cast("int")))
+
+    return F.array_join(F.transform(spans, body), "")
+
+
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
     """(tree, node, up): the i-th table leads 2**i replies up, where there are so many."""
     there = nodes.select("tree", F.col("node").alias("up"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.base import stored, table
 from barloom.llm.bpe import encoded
-from barloom.llm.chat_format import chained, format_replies, parse_turns
+from barloom.llm.chat_format import chained, format_replies, learnt_text, parse_turns
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.html_text import learn_weights, main_texts
 from barloom.llm.mixing import mixing_draws
@@ -34,8 +34,7 @@ def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
     turns = formatted.withColumn("turns", parse_turns(F.col("formatted")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat_ws("\n", t.role, t.text, F.lit(""))), "")
-    learnt = F.filter("turns", lambda t: t.role == "assistant")
-    loss = F.array_join(F.transform(learnt, lambda t: t.text), "")
+    loss = learnt_text(F.col("formatted"), F.col("loss_spans"))
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

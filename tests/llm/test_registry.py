@@ -6,8 +6,11 @@ import brute
 import duckdb
 import pytest
 from check_oracle import normalize
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from barloom.llm import registry
+from barloom.llm.chat_format import format_replies
 from barloom.llm.registry import ORACLES, QUERIES
 from barloom.llm.toxicity import scored, train
 
@@ -35,6 +38,17 @@ def test_query_equals_sql(spark, connection, name):
     assert sorted(df.columns) == sorted(names)
 
 
+def test_wrong_loss_mask_shows_in_op1(spark, monkeypatch):
+    def shifted(*args, **kinds):
+        move = "transform(loss_spans, s -> named_struct('start', s.start + 1, 'length', s.length))"
+        return format_replies(*args, **kinds).withColumn("loss_spans", F.expr(move))
+
+    right = {r.conv_id: r.loss_sha256 for r in QUERIES["op1_chat_format"](spark, SF).collect()}
+    monkeypatch.setattr(registry, "format_replies", shifted)
+    wrong = {r.conv_id: r.loss_sha256 for r in QUERIES["op1_chat_format"](spark, SF).collect()}
+    assert wrong[-1] != right[-1]
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_covers_its_table(spark, name):
     """These have no SQL; test_text and test_dedup compare their operators with brute force."""
