@@ -1,12 +1,14 @@
 import os
 import sys
-from datetime import date, datetime, timedelta
+from datetime import timedelta
 
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+from helpers import at, day  # noqa: E402
+
 from barloom.session import build_session  # noqa: E402
 from barloom.sources.store import conform  # noqa: E402
 
@@ -23,14 +25,6 @@ def spark():
     session.stop()
 
 
-def day(text):
-    return date.fromisoformat(text)
-
-
-def at(text):
-    return datetime.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def contracts(spark):
     rows = [

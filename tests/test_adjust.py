@@ -1,5 +1,5 @@
 import pytest
-from conftest import day
+from helpers import day
 
 from barloom.operators.adjust import (
     adjust_dividends,

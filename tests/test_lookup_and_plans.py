@@ -4,7 +4,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import at
+from helpers import at
 from pyspark.sql import functions as F
 
 from barloom.operators.adjust import adjust_splits

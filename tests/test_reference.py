@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import at, day
+from helpers import at, day
 from pyspark.sql import functions as F
 
 from barloom.functions import bound, clock_seconds, daily_vendor_ticker
