@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.llm.base import stored, table
 from barloom.llm.bpe import encoded
 from barloom.llm.chat_format import chained, format_replies, learnt_text, parse_turns
+from barloom.llm.decontamination import contamination, hit_places
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.html_text import learn_weights, main_texts
 from barloom.llm.mixing import mixing_draws
@@ -108,6 +109,18 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    n_hit = F.size(hit_places(F.col("spans"))).cast("long")
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        F.col("id").alias("doc_id"),
+        F.col("n_words").cast("long").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -119,12 +132,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op13_decontamination": op13_decontamination,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(/?(s>|(INST|SYS|ROLE|TURN)\]))', '\1\2\\\3', 'g')"""
 
+_SMALL = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+_WORD_13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": f"""
         WITH said AS (
@@ -203,4 +222,32 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {_NORMAL})""",
+    "op13_decontamination": f"""
+        WITH said AS (
+            SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD_13}') AS words FROM documents),
+        items AS (
+            SELECT item_id, words, least(len(words), 10) AS n
+            FROM (SELECT item_id, regexp_extract_all({_SMALL}, '{_WORD_13}') AS words
+                  FROM benchmark)
+            WHERE len(words) > 0),
+        grams AS MATERIALIZED (
+            SELECT DISTINCT item_id::VARCHAR AS item, n, words[place:place + n - 1] AS gram
+            FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS place FROM items)),
+        spans AS MATERIALIZED (
+            SELECT doc_id, place, n, words[place:place + n - 1] AS gram
+            FROM (SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS place
+                  FROM said, (SELECT DISTINCT n FROM grams) WHERE len(words) >= n)),
+        met AS MATERIALIZED (
+            SELECT doc_id, place, spans.n, item FROM spans JOIN grams USING (gram)),
+        hit AS (
+            SELECT doc_id, count(DISTINCT at) AS n_hit
+            FROM (SELECT doc_id, unnest(range(place, place + n)) AS at FROM met) GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items,
+                   string_agg(DISTINCT item, ',' ORDER BY item) AS items
+            FROM met GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM said LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }

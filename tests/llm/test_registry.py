@@ -15,7 +15,7 @@ from barloom.llm.registry import ORACLES, QUERIES
 from barloom.llm.toxicity import scored, train
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
-TABLES = "documents pages labels conversations".split()
+TABLES = "documents pages labels conversations benchmark".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
