@@ -14,6 +14,7 @@ from barloom.llm.chat_format import chained, format_replies, learnt_text, parse_
 from barloom.llm.decontamination import contamination, hit_places
 from barloom.llm.exact_dedup import dedup_decisions
 from barloom.llm.html_text import learn_weights, main_texts
+from barloom.llm.lexical_search import ranked_search
 from barloom.llm.mixing import mixing_draws
 from barloom.llm.ngram_join import similar_documents
 from barloom.llm.substring_dedup import remove_repeats
@@ -109,6 +110,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     n_hit = F.size(hit_places(F.col("spans"))).cast("long")
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op12_ranked_search": op12_ranked_search,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -142,6 +148,7 @@ _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(/?(s>|(INST|SYS|ROLE|TURN)\]))',
 _SMALL = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
+_WORD_12 = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD_13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
@@ -222,6 +229,32 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {_NORMAL})""",
+    "op12_ranked_search": f"""
+        WITH said AS (
+            SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD_12}') AS words FROM documents),
+        sizes AS (
+            SELECT doc_id, len(words) AS n FROM said WHERE len(words) > 0),
+        whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+        held AS MATERIALIZED (
+            SELECT doc_id, word, count(*) AS tf
+            FROM (SELECT doc_id, unnest(words) AS word FROM said) GROUP BY ALL),
+        asked AS (
+            SELECT item_id, unnest(regexp_extract_all({_SMALL}, '{_WORD_12}')) AS word
+            FROM benchmark),
+        weights AS (
+            SELECT word, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT word, count(*) AS df FROM held GROUP BY word), whole),
+        parts AS (
+            SELECT doc_id, word,
+                   w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))
+                       AS part
+            FROM held JOIN sizes USING (doc_id) JOIN weights USING (word), whole),
+        scores AS (
+            SELECT item_id, doc_id, sum(part)::BIGINT AS score
+            FROM asked JOIN parts USING (word) GROUP BY item_id, doc_id HAVING sum(part) > 0)
+        SELECT item_id, doc_id, score,
+               row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM scores QUALIFY rank <= 20""",
     "op13_decontamination": f"""
         WITH said AS (
             SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD_13}') AS words FROM documents),
@@ -240,8 +273,9 @@ ORACLES: dict[str, str] = {
         met AS MATERIALIZED (
             SELECT doc_id, place, spans.n, item FROM spans JOIN grams USING (gram)),
         hit AS (
-            SELECT doc_id, count(DISTINCT at) AS n_hit
-            FROM (SELECT doc_id, unnest(range(place, place + n)) AS at FROM met) GROUP BY doc_id),
+            SELECT doc_id, count(DISTINCT spot) AS n_hit
+            FROM (SELECT doc_id, unnest(range(place, place + n)) AS spot FROM met)
+            GROUP BY doc_id),
         named AS (
             SELECT doc_id, count(DISTINCT item) AS n_items,
                    string_agg(DISTINCT item, ',' ORDER BY item) AS items
