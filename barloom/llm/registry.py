@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,6 +18,7 @@ from barloom.llm.html_text import learn_weights, main_texts
 from barloom.llm.lexical_search import ranked_search
 from barloom.llm.mixing import mixing_draws
 from barloom.llm.ngram_join import similar_documents
+from barloom.llm.periodic_runs import collapsed, strongest
 from barloom.llm.substring_dedup import remove_repeats
 from barloom.llm.token_counts import token_counts
 from barloom.llm.toxicity import held_out, scored, train
@@ -110,6 +112,34 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the documents, their ends repeated from some word on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    best = strongest(F.col("runs"))
+    listed = F.transform(
+        "runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    )
+    lines = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    return collapsed(docs, edit=repeated_tail).withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -137,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_ranked_search": op12_ranked_search,
     "op13_decontamination": op13_decontamination,
 }
@@ -148,6 +179,11 @@ _ESCAPED = r"""regexp_replace({}, '([<\[])(\\*)(/?(s>|(INST|SYS|ROLE|TURN)\]))',
 _SMALL = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                          lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 _WORD_12 = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD_13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -229,6 +265,49 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256({_NORMAL}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {_NORMAL})""",
+    "op11_periodic_runs": rf"""
+        WITH said AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+        cut AS (
+            SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a FROM said),
+        edited AS MATERIALIZED (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i:
+                       words[1 + CASE WHEN i < a THEN i ELSE
+                             a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END])
+                   ELSE words END AS words
+            FROM cut),
+        places AS MATERIALIZED (
+            SELECT doc_id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM edited),
+        same AS (
+            SELECT x.doc_id, y.i - x.i AS q, x.i AS i
+            FROM places AS x JOIN places AS y
+                ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+                AND (y.i - x.i) * 4 <= x.n),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island
+                  FROM same) GROUP BY doc_id, q, island),
+        runs AS MATERIALIZED (
+            SELECT doc_id, start, length, min(q) AS period FROM stretches
+            WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+        listed AS (
+            SELECT doc_id, count(*) AS n_runs,
+                   string_agg(start || ',' || length || ',' || period || chr(10), ''
+                              ORDER BY start, period) AS lines,
+                   first({{'start': start, 'length': length, 'period': period}}
+                         ORDER BY length::DOUBLE / period DESC, start, period) AS best
+            FROM runs GROUP BY doc_id),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+            FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length,
+               best.period AS period, (1000 * best.length) // best.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256,
+               sha256(coalesce(kept.text, '')) AS collapsed_sha256
+        FROM said LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op12_ranked_search": f"""
         WITH said AS (
             SELECT doc_id, regexp_extract_all({_SMALL}, '{_WORD_12}') AS words FROM documents),
