@@ -105,6 +105,17 @@ def _scanned(
     return joined.where("at = 0 OR gram IS NOT NULL").select(*place, start.alias("start"), "gram")
 
 
+def _verified(words: Column) -> Column:
+    """The hits in ``met`` whose words stand in the text at their place."""
+
+    def stands(words: Column, m: Column) -> Column:
+        return F.size(F.filter(m.gram, lambda w, k: F.get(words, m.start + k) == w)) == F.size(m.gram)
+
+    # as the one element of an array the words are made once, not for each hit
+    checked = F.transform(F.array(words), lambda ws: F.filter("met", lambda m: stands(ws, m)))
+    return F.get(checked, F.lit(0))
+
+
 def hit_places(spans: Column) -> Column:
     """The places of the words inside any of the spans."""
     inside = F.transform(spans, lambda s: F.sequence(s.start, s.start + s.length - 1))
@@ -140,18 +151,12 @@ def _contamination(
         scan.where("start >= 0").groupBy(*place)
         .agg(F.collect_list(F.struct("start", "gram")).alias("met"))
     )
-    words = lowered_words(F.col("text"))
-    same = F.filter(
-        "met",
-        lambda m: F.size(F.filter(m.gram, lambda w, k: F.get("words", m.start + k) == w))
-        == F.size(m.gram),
-    )
+    same = _verified(lowered_words(F.col("text")))
     spans = F.transform(
         "same", lambda m: F.struct(m.start.alias("start"), F.size(m.gram).alias("length"))
     )
     hits = stored(
         rows.select(*place, "text").join(met, place)
-        .withColumn("words", words)
         .select(*place, same.alias("same"))
         .select(*place, spans.alias("spans"), F.array_distinct("same.gram").alias("grams")),
         "verified-hits",
