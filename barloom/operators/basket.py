@@ -7,19 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.lookup import lookup_join
-from barloom.schema import KEY, MIN_WEIGHT, OHLC
+from barloom.schema import KEY, MIN_WEIGHT, OHLC, track
 
 
 def basket_legs(weights: DataFrame, bars: DataFrame, min_weight: float = MIN_WEIGHT) -> DataFrame:
-    """Legs that have bars, with weights rescaled to one, and their number per basket."""
-    whole = W.partitionBy("basket")
-    traded = bars.select(KEY).distinct()
+    """Legs that have bars, with weights rescaled to one, and their number.
+
+    Both are counted per basket and track, as an instrument may trade on one only.
+    """
+    series = track(bars)
+    whole = W.partitionBy("basket", *[c for c in series if c != KEY])
+    traded = bars.select(*series).distinct()
     return (
         weights.filter(F.col("weight") >= min_weight)
-        .join(traded, KEY, "left_semi")
+        .join(traded, KEY)
         .select(
             "basket",
-            KEY,
+            *series,
             (F.col("weight") / F.sum("weight").over(whole)).alias("weight"),
             F.count("*").over(whole).alias("legs"),
         )
@@ -29,15 +33,16 @@ def basket_legs(weights: DataFrame, bars: DataFrame, min_weight: float = MIN_WEI
 def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -> DataFrame:
     """Weighted sum of the legs on their common timestamps, first close at ``rebase``.
 
-    Legs are combined at the base resolution; resample the result afterwards.
-    Baskets appear as instruments keyed ``portfolio:<basket>``.
+    Legs are combined at the base resolution, each track apart; resample the
+    result afterwards. Baskets appear as instruments keyed ``portfolio:<basket>``.
     """
-    legs = basket_legs(weights, bars)
-    wanted = [KEY, "window_start", *OHLC] + (["volume"] if "volume" in bars.columns else [])
-    joined = lookup_join(bars.select(*wanted), legs, [KEY], how="inner", bounded_by=weights)
+    legs, series = basket_legs(weights, bars), track(bars)
+    on = ["basket", *[c for c in series if c != KEY]]
+    wanted = [*series, "window_start", *OHLC] + (["volume"] if "volume" in bars.columns else [])
+    joined = lookup_join(bars.select(*wanted), legs, series, how="inner", bounded_by=weights)
     volume = F.coalesce(F.col("volume"), F.lit(0)) if "volume" in wanted else F.lit(0.0)
     combined = (
-        joined.groupBy("basket", "window_start")
+        joined.groupBy(*on, "window_start")
         .agg(
             *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in OHLC],
             F.sum(volume * F.col("weight")).alias("volume"),
@@ -46,16 +51,16 @@ def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -
         )
         .filter("_present = _legs")
     )
-    start = combined.groupBy("basket").agg(
+    start = combined.groupBy(*on).agg(
         F.min_by("close", "window_start").alias("_base"), F.count("*").alias("_bars")
     )
     usable = start.filter("_bars >= 2 AND _base <> 0 AND NOT isnan(_base)").drop("_bars")
-    based = lookup_join(combined, usable, ["basket"], how="inner", bounded_by=weights)
+    based = lookup_join(combined, usable, on, how="inner", bounded_by=weights)
     factor = F.lit(float(rebase)) / F.col("_base")
     close = F.col("close") * factor
     return based.select(
         F.concat(F.lit("portfolio:"), F.col("basket")).alias(KEY),
-        "basket",
+        *on,
         "window_start",
         F.to_date("window_start").alias("session_end_date"),
         F.lit("PORTFOLIO").alias("ticker"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.clock import clock_seconds, wall_to_utc
 from barloom.operators.lookup import lookup_join
-from barloom.schema import DAY, KEY, MINUTE, VOLUMES
+from barloom.schema import DAY, MINUTE, VOLUMES, track
 from barloom.session import materialize
 
 # Time-scale units and what one of them means on its base track.
@@ -87,20 +87,21 @@ def resample_minutes(
     (starting the evening before when begin > end), otherwise it runs from the
     session's first bar to one minute after its last.
 
-    The only shuffle of the bars is on (instrument, session); both aggregations
-    reuse it, and a session is at most a day of one instrument.
+    Tracks of one instrument are resampled apart. The only shuffle of the bars is
+    on (instrument, track, session); both aggregations reuse it, and a session is
+    at most a day of one instrument.
     """
     if k_minutes < 1:
         raise ValueError(f"k_minutes must be at least 1, got {k_minutes}")
     if k_minutes == 1:
         return _counted(bars)
-    day = F.col("session_end_date")
+    day, series = F.col("session_end_date"), track(bars)
     if begin is not None and end is not None:
         first, last = clock_seconds(begin), clock_seconds(end)
         anchor = wall_to_utc(day, first, timezone, -1 if first > last else 0)
         session_end = wall_to_utc(day, last, timezone)
     else:
-        session = W.partitionBy(KEY, "session_end_date")
+        session = W.partitionBy(*series, "session_end_date")
         anchor = F.min("window_start").over(session)
         session_end = _add(F.max("window_start").over(session), F.lit(60))
     step = k_minutes * 60
@@ -113,7 +114,7 @@ def resample_minutes(
         .withColumn("_start", _add(F.col("_anchor"), F.col("_bucket") * step))
         .filter(_add(F.col("_start"), F.lit(step)) <= F.col("_session_end"))
     )
-    keys = [KEY, "session_end_date", "_start"]
+    keys = [*series, "session_end_date", "_start"]
     if "ticker" not in bars.columns:
         marked = marked.withColumn("ticker", F.lit(None).cast("string"))
     parts = marked.groupBy(*keys, "ticker").agg(*_partial_aggregates(bars))
@@ -121,8 +122,8 @@ def resample_minutes(
 
 
 def session_bounds(bars: DataFrame) -> DataFrame:
-    """First and last session per instrument, combined map-side."""
-    return bars.groupBy(KEY).agg(
+    """First and last session per instrument and track, combined map-side."""
+    return bars.groupBy(*track(bars)).agg(
         F.min("session_end_date").alias("first_date"),
         F.max("session_end_date").alias("last_date"),
     )
@@ -139,8 +140,8 @@ def resample_days(
 
     Every bucket with a bar is kept, except a last one whose calendar window
     the data have not yet covered. ``bounds`` (first and last session per
-    instrument, e.g. from the manifest) saves a pass over two columns; without
-    it they are computed and written once.
+    instrument and track, e.g. from the manifest) saves a pass over two columns;
+    without it they are computed and written once.
     """
     if k_days < 1:
         raise ValueError(f"k_days must be at least 1, got {k_days}")
@@ -153,7 +154,10 @@ def resample_days(
     anchor = F.col("first_date")
     if week_aligned:
         anchor = F.trunc(anchor, "week").cast("date")
-    joined = lookup_join(bars, bounds, [KEY], how="inner", spread_by=[KEY, "session_end_date"])
+    series = [c for c in track(bars) if c in bounds.columns]
+    joined = lookup_join(
+        bars, bounds, series, how="inner", spread_by=[*series, "session_end_date"]
+    )
     period = F.trunc(day, "week").cast("date") if week_aligned else day
     marked = joined.withColumn("_anchor", anchor).withColumn(
         "_bucket", F.floor(F.date_diff(period, F.col("_anchor")) / k_days).cast("int")
@@ -161,7 +165,7 @@ def resample_days(
     # Every bucket but the last ends before the last session, so this drops only a partial one.
     bucket_end = F.date_add(F.col("_anchor"), ((F.col("_bucket") + 1) * k_days - 1).cast("int"))
     marked = marked.filter(bucket_end <= F.col("last_date"))
-    keys = [KEY, "_bucket"]
+    keys = [*track(bars), "_bucket"]
     if "ticker" not in bars.columns:
         marked = marked.withColumn("ticker", F.lit(None).cast("string"))
     parts = marked.groupBy(*keys, "ticker").agg(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.schema import KEY, VOLUMES
+from barloom.schema import VOLUMES, track
 
 
 def tumbling_bars(
-    bars: DataFrame, k_minutes: int, *, overlap: str = "1 day", by: list[str] = [KEY]
+    bars: DataFrame, k_minutes: int, *, overlap: str = "1 day", by: list[str] | None = None
 ) -> DataFrame:
     """k-minute bars by the clock from merged minutes; streamed rows later than ``overlap`` go.
 
@@ -21,12 +21,13 @@ def tumbling_bars(
     timed = bars.withColumn("event_time", F.col("window_start").cast("timestamp")).withWatermark(
         "event_time", overlap
     )
+    minute = [*track(bars), "ticker", "window_start"]
     if bars.isStreaming:
-        once = timed.dropDuplicatesWithinWatermark([KEY, "ticker", "window_start"])
+        once = timed.dropDuplicatesWithinWatermark(minute)
     else:
-        once = timed.dropDuplicates([KEY, "ticker", "window_start"])
+        once = timed.dropDuplicates(minute)
     sums = [F.sum(c).alias(c) for c in VOLUMES if c in bars.columns]
-    grouped = once.groupBy(*by, F.window("event_time", f"{k_minutes} minutes").alias("w")).agg(
+    grouped = once.groupBy(*(by or track(bars)), F.window("event_time", f"{k_minutes} minutes").alias("w")).agg(
         F.min_by("open", "event_time").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),

@@ -142,3 +142,14 @@ def test_timescales(text, resolution, minutes, days, week):
     }
     with pytest.raises(ValueError):
         parse_timescale("3fortnight")
+
+
+def test_tracks_of_one_instrument_are_resampled_apart(make_bars, minutes):
+    one_minute = make_bars(minutes("2025-06-02 00:00", 60, 1.0))
+    daily = make_bars([("2025-06-02", 999), ("2025-06-09", 9)], resolution="1day")
+    got = resample_minutes(one_minute.unionByName(daily), 30).orderBy("window_start").collect()
+    assert [(r.resolution, r.candle_count, r.high, r.volume) for r in got] == [
+        ("1min", 30, 31.0, 3000), ("1min", 30, 61.0, 3000)
+    ]
+    weeks = resample_days(one_minute.unionByName(daily), 7, week_aligned=True).collect()
+    assert [(r.resolution, r.candle_count, r.close) for r in weeks] == [("1day", 1, 999.5)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.operators import adjust, filters, merge, resample, roll, ticks
+from pyspark.sql import functions as F
+
+from barloom.operators import adjust, basket, filters, merge, resample, roll, ticks
 from barloom.plans.bar_query import BarQuery, query_bars, query_quality
 from barloom.session import materialize
 from workload import derive as d
@@ -52,6 +54,14 @@ def _dividend_adjusted(spark, sf):
     return adjust.adjust_dividends(bars, _dividend_factors(spark, sf, bars))
 
 
+def _typed_weights(spark, sf):
+    """A basket per instrument type, weighted by the number of minutes traded."""
+    held = d.minute_bars(spark, sf).groupBy("instrument_type", "instrument_key").agg(
+        F.count("*").cast("double").alias("weight")
+    )
+    return held.withColumnRenamed("instrument_type", "basket")
+
+
 def _adjusted_weeks(spark, sf):
     bars = _daily(spark, sf)
     return query_bars(
@@ -276,6 +286,70 @@ query(
     with_tables(sql.days("db", 3), "db"),
 )
 
+#: Daily bars of the instruments of the minute track.
+SESSION_DAYS = """
+    SELECT instrument_key, '1day' AS resolution, session_end_date,
+           CAST(session_end_date AS TIMESTAMP) AS window_start, any_value(ticker) AS ticker,
+           arg_min(open, window_start) AS open, max(high) AS high, min(low) AS low,
+           arg_max(close, window_start) AS close, CAST(sum(volume) AS BIGINT) AS volume,
+           CAST(sum(transactions) AS BIGINT) AS transactions
+    FROM mb GROUP BY instrument_key, session_end_date
+"""
+
+
+def _both_tracks(spark, sf):
+    return materialize(d.both_tracks(spark, sf), "both-tracks")
+
+
+query(
+    "resample_mixed_tracks",
+    lambda s, sf: resample.resample_minutes(_both_tracks(s, sf), 30),
+    f"{MINUTE_OUT} resolution",
+    with_tables(f"SELECT *, '1min' AS resolution FROM ({sql.minutes('mb', 30)})", "mb"),
+)
+query(
+    "weeks_of_mixed_tracks",
+    lambda s, sf: resample.resample_days(_both_tracks(s, sf), 7, week_aligned=True),
+    f"{DAY_OUT} resolution",
+    with_tables(
+        f"SELECT *, '1min' AS resolution FROM ({sql.days('mb', 7, True)}) UNION ALL"
+        f" SELECT *, '1day' AS resolution FROM ({sql.days('session_days', 7, True)})",
+        "mb",
+        extra={"session_days": SESSION_DAYS},
+    ),
+)
+query(
+    "basket_mixed_tracks",
+    lambda s, sf: basket.basket_bars(_both_tracks(s, sf), _typed_weights(s, sf)),
+    f"{BAR} resolution volume:4",
+    with_tables(
+        """
+        SELECT 'portfolio:' || basket AS instrument_key, resolution, window_start, volume,
+               open * 100 / base AS open, high * 100 / base AS high, low * 100 / base AS low,
+               close * 100 / base AS close
+        FROM sums JOIN (SELECT basket, resolution, arg_min(close, window_start) AS base
+                        FROM sums GROUP BY ALL HAVING count(*) >= 2) USING (basket, resolution)
+        """,
+        "mb",
+        extra={
+            "both_tracks": "SELECT instrument_key, resolution, window_start, open, high, low, close,"
+            f" volume FROM mb UNION ALL SELECT instrument_key, resolution, window_start, open, high,"
+            f" low, close, volume FROM ({SESSION_DAYS})",
+            "legs": """
+                SELECT split_part(instrument_key, ':', 1) AS basket, instrument_key,
+                       count(*) / sum(count(*)) OVER kind AS weight, count(*) OVER kind AS legs
+                FROM mb GROUP BY instrument_key
+                WINDOW kind AS (PARTITION BY split_part(instrument_key, ':', 1))""",
+            "sums": """
+                SELECT basket, resolution, window_start, sum(open * weight) AS open,
+                       sum(high * weight) AS high, sum(low * weight) AS low,
+                       sum(close * weight) AS close, sum(volume * weight) AS volume
+                FROM both_tracks JOIN legs USING (instrument_key)
+                GROUP BY ALL HAVING count(*) = max(legs)""",
+        },
+    ),
+)
+
 # --- splits and dividends -------------------------------------------------------------------
 
 query(

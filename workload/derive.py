@@ -271,6 +271,25 @@ def daily_from_minutes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def both_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Minute bars and, under the same keys, one bar of the daily track per session."""
+    minutes = minute_bars(spark, sf)
+    names = ["instrument_key", "instrument_type", "symbol", "session_end_date", "ticker"]
+    days = minutes.groupBy(*names).agg(
+        F.min_by("open", "window_start").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "window_start").alias("close"),
+        *[F.sum(c).alias(c) for c in ("volume", "transactions", "dollar_volume")],
+    )
+    midnight = F.col("session_end_date").cast("timestamp_ntz")
+    return minutes.unionByName(
+        days.withColumns(
+            {"resolution": F.lit("1day"), "window_start": midnight, "product_code": F.col("symbol")}
+        )
+    )
+
+
 def all_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Keys, resolutions and times of every bar held."""
     columns = ["instrument_key", "resolution", "window_start"]
