@@ -22,7 +22,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from barloom.llm.base import free_name, text_of
 
 #: Bytes of text whose pre-tokens are held at once, and pre-tokens and pairs remembered by a task.
 CHUNK_BYTES = 1_000_000
-REMEMBERED = 120_000
+REMEMBERED = 400_000
 #: Largest vocabulary file shipped to executors.
 MAX_FILE_BYTES = 64_000_000
 
@@ -190,11 +190,11 @@ class Encoder:
             "(" + "|".join(map(re.escape, self.vocabulary.special)) + ")"
         )
         self.pairs: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
+        self._know_special()
+
+    def _know_special(self) -> None:
         for name, token in self.vocabulary.special.items():
             self.ids_of[name] = array("i", [token]).tobytes()
             self.text_of[name] = name
@@ -222,10 +222,19 @@ class Encoder:
         return "".join([self.byte_names[b] for b in word.encode()])
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encodes words that aren't remembered yet."""
-        if len(self.ids_of) > REMEMBERED:
-            self._forget()
+        """Encodes words that aren't remembered yet; of too many the older half is forgotten."""
+        if (n := len(self.ids_of)) > REMEMBERED:
+            self.ids_of = dict(islice(self.ids_of.items(), n // 2, None))
+            self.text_of = dict(islice(self.text_of.items(), n // 2, None))
+            self._know_special()
         new = [w for w in words if w not in self.ids_of]
+        names = self.vocabulary.names
+        for word, tokens in zip(new, self.tokens_of(new), strict=True):
+            self.ids_of[word] = array("i", tokens).tobytes()
+            self.text_of[word] = " ".join([names[t] for t in tokens])
+
+    def tokens_of(self, new: list[str]) -> list[list[int]]:
+        """The tokens of distinct pre-tokens: proposals that pass the test, exact merges for others."""
         v = self.vocabulary
         names = [self._named(w) for w in new]
         proposals = [v.proposed(name) or [] for name in names]
@@ -249,15 +258,13 @@ class Encoder:
         held = np.array([self.pairs[c] for c in codes.tolist()], dtype=bool)
         if len(inner):
             good[owner[inner[~held[back]]]] = False
-        ids, token_names = v.ids, v.names
-        for word, name, found, right in zip(new, names, proposals, good.tolist(), strict=True):
-            if right:
-                strings = [token_names[t] for t in found]
-            else:
-                strings = v.merged(v.symbols(name + END))
-                found = [ids[x] for x in strings]
-            self.ids_of[word] = array("i", found).tobytes()
-            self.text_of[word] = " ".join(strings)
+        ids, special = v.ids, v.special
+        return [
+            [special[word]] if word in special
+            else found if right
+            else [ids[x] for x in v.merged(v.symbols(name + END))]
+            for word, name, found, right in zip(new, names, proposals, good.tolist(), strict=True)
+        ]
 
 
 def texts_of(column: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:

@@ -13,6 +13,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,14 @@ class PieceCounts:
         self.pieces = np.zeros(0, dtype=np.int64)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.codes) > REMEMBERED:
-            self.codes, self.pieces = {}, self.pieces[:0]
+        """Counts the pieces of words that have no code yet; of too many the older half goes."""
+        if (n := len(self.codes)) > REMEMBERED:
+            self.codes = {w: i for i, w in enumerate(islice(self.codes, n // 2, None))}
+            self.pieces = self.pieces[n // 2 :]
         new = [w for w in words if w not in self.codes]
-        self.encoder.learn(new)
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        counted = [len(self.encoder.ids_of[w]) // 4 for w in new]
-        self.pieces = np.append(self.pieces, np.array(counted, dtype=np.int64))
+        counted = np.array(list(map(len, self.encoder.tokens_of(new))), dtype=np.int64)
+        self.pieces = np.append(self.pieces, counted)
 
 
 def frequencies(documents: list[list[str]], codes: dict[str, int]) -> tuple[np.ndarray, ...]:
