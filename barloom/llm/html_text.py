@@ -9,14 +9,16 @@ that stand in elements of negative weight (an advert amid the article) are left
 Labelled pages are those that mark their content themselves with one article or main element. A
 bounded sample of them, taken by a hash of the page, is counted; names on the list of usual page
 furniture start with counts that speak against them, so a page kind that no labelled page shows is
-still read sensibly. What stands in furniture says nothing about the elements inside it.
+still read sensibly. What stands in furniture says nothing about the elements inside it, and names
+don't speak against an element that holds what is the page's content by its marks or size.
 
 Defined cases: null or empty html, and a page without a word of positive score, give the empty text;
 markup may be malformed or cut off (an open script, comment or tag runs to the end, an open drawing,
 object or list of choices hides nothing; a head without end ends where its content can't stand in
 one); of runs with equal sums the first counts; a character reference that is no reference stays as
 it is; repeated rows are extracted each for itself; an empty table gives no rows; other columns are
-ignored.
+ignored. A header inside the article is a header, its heading too. With fewer than SEEN_ON labelled
+pages nothing is learned and the list of furniture alone speaks.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW + SKIPPED)})(?=[\s/>]|\Z)"
     r"(?P<how>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -86,7 +88,7 @@ _TOKEN = re.compile(
 _RAW_TAGS = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW + SKIPPED}
 # a slash at the end of an unquoted value closes nothing
 _SELF_CLOSING = re.compile(r"(?:\A|[\s\"'])/\Z")
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?:[\s=>/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -111,11 +113,29 @@ def _names(tag: str, rest: str) -> list[str]:
     return names
 
 
+class Element:
+    """An open or closed element of a page, linked to the one around it."""
+
+    __slots__ = ("around", "names", "fresh", "furniture", "words", "marks", "worst")
+
+    def __init__(self, around: Element | None, names: list[str], open_names: Counter[str]):
+        self.around, self.names = around, names
+        #: names that no element around it has, and whether it or one of those is furniture
+        self.fresh = [n for n in dict.fromkeys(names) if not open_names[n]]
+        self.furniture = bool(around and around.furniture) or not _FURNITURE.isdisjoint(names)
+        #: words and content marks inside, once counted, and the weight of its words
+        self.words, self.marks, self.worst = 0, 0, 0.0
+
+    @property
+    def tag(self) -> str:
+        return self.names[0]
+
+
 @dataclass
 class Piece:
-    """A run of text or a tag, with the names of the elements around it."""
+    """A run of text or a tag, in its innermost element (for a tag, the element it opens or ends)."""
 
-    names: tuple[str, ...]
+    around: Element | None
     text: str | None = None
     tag: str = ""
     closing: bool = False
@@ -152,10 +172,23 @@ def _tokens(page: str) -> Iterator[re.Match[str]]:
                 never.add(tag)
 
 
-def pieces(page: str) -> Iterator[Piece]:
-    """Text runs and tags in page order; scripts, styles, comments and the head are skipped."""
-    stack: list[tuple[str, list[str]]] = []
-    names: tuple[str, ...] = ()
+def pieces(page: str) -> tuple[list[Piece], list[Element]]:
+    """Text runs and tags, and all elements, in page order, in time linear in the page.
+
+    Scripts, styles, comments and the head are skipped.
+    """
+    found: list[Piece] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
+    open_names: Counter[str] = Counter()
+    open_tags: Counter[str] = Counter()
+
+    def close(down_to: int) -> None:
+        for element in stack[down_to:]:
+            open_names.subtract(element.names)
+            open_tags[element.tag] -= 1
+        del stack[down_to:]
+
     in_head = False
     for token in _tokens(page):
         text, tag = token["text"], token["tag"]
@@ -170,28 +203,35 @@ def pieces(page: str) -> Iterator[Piece]:
                 in_head = tag not in ("body", "html", "br") if token["end"] else tag in IN_HEAD
             if in_head:
                 continue
+        innermost = stack[-1] if stack else None
         if text is not None:
-            yield Piece(names, text=text)
+            found.append(Piece(innermost, text=text))
         elif tag:
             tag = tag.lower()
-            closing = bool(token["end"])
-            if closing:
-                yield Piece(names, tag=tag, closing=True)
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                # a stray closing tag of a loose element closes nothing outside its block
-                if at is not None and not (
-                    tag in LOOSE and any(t not in LOOSE for t, _ in stack[at + 1 :])
-                ):
-                    del stack[at:]
-            else:
-                if tag not in INLINE:
-                    while stack and stack[-1][0] in LOOSE and tag in _CLOSES.get(stack[-1][0], ()):
-                        stack.pop()
-                if tag not in VOID and not _SELF_CLOSING.search(token["rest"]):
-                    stack.append((tag, _names(tag, token["rest"])))
-            names = tuple(n for _, ns in stack for n in ns)
-            if not closing:
-                yield Piece(names, tag=tag)
+            if token["end"]:
+                found.append(Piece(innermost, tag=tag, closing=True))
+                if open_tags[tag] > 0:
+                    at = len(stack) - 1
+                    while stack[at].tag != tag:
+                        # a stray closing tag of a loose element closes nothing outside its block
+                        if tag in LOOSE and stack[at].tag not in LOOSE:
+                            at = len(stack)
+                            break
+                        at -= 1
+                    close(at)
+                continue
+            if tag not in INLINE:
+                while stack and stack[-1].tag in LOOSE and tag in _CLOSES.get(stack[-1].tag, ()):
+                    close(len(stack) - 1)
+            innermost = stack[-1] if stack else None
+            if tag not in VOID and not _SELF_CLOSING.search(token["rest"]):
+                innermost = Element(innermost, _names(tag, token["rest"]), open_names)
+                stack.append(innermost)
+                elements.append(innermost)
+                open_names.update(innermost.names)
+                open_tags[tag] += 1
+            found.append(Piece(innermost, tag=tag))
+    return found, elements
 
 
 _BLOCKS = (
@@ -212,16 +252,49 @@ class Weights:
     names: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word(self, around: tuple[str, ...]) -> float:
+    def _of(self, name: str) -> float:
+        return self.names.get(name, -1.0 if name in _FURNITURE else 0.5)
+
+    def rate(self, found: list[Piece], elements: list[Element]) -> None:
+        """Gives each element the weight of its words: the worst of its names and those around it.
+
+        Names don't speak against an element that holds the page's content: its
+        only article (or else its only main) element or, on pages without these
+        and without a first heading outside, more than half of all words, unless
+        its tag itself is one of furniture.
+        """
+        for p in found:
+            if p.text is not None and p.around:
+                p.around.words += len(p.text.split())
+        marks = [[e for e in elements if e.tag == mark] for mark in ("article", "main", "h1")]
+        mark = next((m[0] for m in marks if len(m) == 1), None)
+        if mark:
+            mark.marks = 1
+        for e in reversed(elements):
+            if e.around:
+                e.around.words += e.words
+                e.around.marks += e.marks
+        whole = sum(e.words for e in elements if e.around is None)
+        for e in elements:
+            if mark is not None and mark.tag != "h1":
+                holds = e.marks > 0
+            else:
+                holds = e.words * 2 > whole and (mark is None or e.marks > 0)
+            own = [self._of(n) for n in e.names]
+            if holds and self._of(e.tag) >= 0:
+                own = [w for w in own if w >= 0]
+            e.worst = min([*own, e.around.worst if e.around else 1.0])
+
+    @staticmethod
+    def word(around: Element | None) -> float:
         """The worst name speaks, if it speaks against; otherwise words are content.
 
         Words of furniture are left out of any run, so they need only keep a
         run from starting or ending with them, and from bridging to too little.
         """
-        worst = min([self.names.get(n, -1.0 if n in _FURNITURE else 0.5) for n in around] or [0.5])
-        return FURNITURE_COST * worst if worst < 0 else 1.0
+        return FURNITURE_COST * around.worst if around and around.worst < 0 else 1.0
 
-    def tag(self, name: str, around: tuple[str, ...] = ()) -> float:
+    def tag(self, name: str, around: Element | None = None) -> float:
         """Tags of furniture are left out with it and cost nothing; those of lists cost little."""
         if self.word(around) < 0:
             return 0.0
@@ -234,23 +307,42 @@ def counted(page: str) -> Counter[tuple[str, str, bool]]:
 
     Nothing unless the page has exactly one article element, or else one main.
     """
-    found = list(pieces(page))
+    found, elements = pieces(page)
     for mark in ("article", "main"):
-        if sum(p.tag == mark and not p.closing for p in found) == 1:
+        if sum(e.tag == mark for e in elements) == 1:
             break
     else:
         return Counter()
     counts: Counter[tuple[str, str, bool]] = Counter()
+    # words of each element: inside the content, outside, and outside of any furniture too
+    words = {id(e): [0, 0, 0] for e in elements}
+    content: set[int] = set()
+    for e in elements:
+        if e.tag == mark or (e.around and id(e.around) in content):
+            content.add(id(e))
     for p in found:
-        inside = mark in p.names
+        inside = p.around is not None and id(p.around) in content
         if p.text is None:
-            if not any(n in _FURNITURE for n in p.names):
+            if not (p.around and p.around.furniture):
                 counts["tag", p.tag, inside and p.tag != mark] += 1
-            continue
-        words = len(p.text.split())
-        blamed = [n for n in p.names if n in _FURNITURE] if not inside else []
-        for name in set(blamed or p.names):
-            counts["word", name, inside] += words
+        elif p.around:
+            n, sums = len(p.text.split()), words[id(p.around)]
+            if inside:
+                sums[0] += n
+            else:
+                sums[1] += n
+                sums[2] += n * (not p.around.furniture)
+    for e in reversed(elements):
+        sums = words[id(e)]
+        if e.around:
+            above = words[id(e.around)]
+            for k in range(3):
+                above[k] += sums[k]
+        for name in e.fresh:
+            # where there is furniture around words outside, it alone is to blame
+            for inside, n in ((True, sums[0]), (False, sums[1 if name in _FURNITURE else 2])):
+                if n:
+                    counts["word", name, inside] += n
     return counts
 
 
@@ -275,14 +367,15 @@ def extract(page: str, weights: Weights) -> str:
     """The text of the maximum-scoring run, white space as single spaces."""
     best = total = 0.0
     start = first = last = 0
-    found = list(pieces(page))
+    found, elements = pieces(page)
+    weights.rate(found, elements)
     scores = []
     for i, p in enumerate(found):
         if p.text is None:
             scores.append(0.0)
-            total += weights.tag(p.tag, p.names)
+            total += weights.tag(p.tag, p.around)
         else:
-            scores.append(weights.word(p.names))
+            scores.append(weights.word(p.around))
             total += scores[-1] * len(html.unescape(p.text).split())
         if total <= 0:
             total, start = 0.0, i + 1
@@ -304,8 +397,9 @@ def learn_weights(pages: DataFrame, key: str = "page_id", page: str = "html") ->
     wanted = pages.select(
         F.col(f"`{key}`").alias("id"), text_of(F.col(f"`{page}`")).alias("html")
     ).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & F.col("id").isNotNull())
-    # bounded by SAMPLE
-    chosen = wanted.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    # SAMPLE ids at most, and of repeated ids one row
+    ids = wanted.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    chosen = wanted.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,8 +419,7 @@ def learn_weights(pages: DataFrame, key: str = "page_id", page: str = "html") ->
             )
 
     counts = (
-        wanted.join(F.broadcast(chosen), "id")
-        .select("html")
+        chosen.select("html")
         .mapInArrow(count, "kind string, name string, inside boolean, n double")
         .groupBy("kind", "name", "inside")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seen"))

@@ -2,10 +2,13 @@
 
 import math
 import random
+import time
 import re
 import zlib
+from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -15,10 +18,10 @@ from tokenizers import Tokenizer
 from barloom.llm.bpe import Encoder, encoded, vocabulary_file
 from barloom.llm.chat_format import chained, format_replies, parse_turns
 from barloom.llm.hashing import WordHasher, buffers, chunks
-from barloom.llm.html_text import Weights, extract, learn_weights, main_texts
+from barloom.llm.html_text import Weights, counted, extract, learn_weights, main_texts
 from barloom.llm.mixing import Mixture, fit_exponent, mixed, mixing_draws
 from barloom.llm.token_counts import token_counts
-from barloom.llm.toxicity import Training, held_out, scored, train
+from barloom.llm.toxicity import Training, fit, held_out, scored, train
 from barloom.llm.winnowing import compare_edited, with_fingerprint
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -311,3 +314,97 @@ def test_toxic_words_are_learnt(spark):
     unlabelled = train(docs, labels.limit(0))
     assert all(r.score < 1e-6 for r in scored(docs, unlabelled).collect())
     assert scored(docs.limit(0), model).count() == 0
+
+
+def test_quotes_in_tags_follow_their_equals_sign():
+    page = "<article><p>one two <a href=/x title=Bob's>link</a> three four don't five six</p>"
+    assert extract(page, Weights()) == "one two link three four don't five six"
+    assert extract("<p>one <a title=\"x>y</a> two three four", Weights()) == "one y two three four"
+    assert extract("<p title='a > b' x=\"c > d\">one two", Weights()) == "one two"
+
+
+@pytest.mark.parametrize("opening", [
+    "<article class='widget-post'>", "<div class='share-price-story'>",
+    "<div class='entry legal-analysis'>", "<section role=banner><article>",
+])
+def test_names_dont_speak_against_what_holds_the_page(opening):
+    page = f"<nav>a b</nav>{opening}<p>{FILL}</p><div class=share>x y</div><p>more words follow here</p>"
+    assert extract(page, Weights()) == f"{FILL} more words follow here"
+
+
+def test_many_comments_are_not_the_article():
+    page = f"<article><h1>Head</h1><p>{FILL}</p></article><div class=comments>{'<p>word ' * 500}</div>"
+    assert extract(page, Weights()) == f"Head {FILL}"
+    page = f"<h1>Head</h1><p>{FILL}</p><div class=comments>{'<p>word ' * 500}</div>"
+    assert extract(page, Weights()) == f"Head {FILL}"
+
+
+def test_deep_pages_take_linear_time():
+    page = "<div class='a b'>" * 100_000 + f"<p>{FILL}" + "</div>" * 50_000 + "</span>" * 50_000
+    started = time.monotonic()
+    assert extract(page, Weights()) == FILL
+    counted(f"<article>{page}</article>")
+    assert time.monotonic() - started < 20
+
+
+def test_repeated_pages_are_sampled_once(spark):
+    page = "<article><p class=own>one two three</p></article><div class=outer>four</div>"
+    rows = [(i, page) for i in range(8)]
+    table = spark.createDataFrame(rows, "page_id long, html string")
+    often = spark.createDataFrame(rows + [(3, page)] * 300, "page_id long, html string")
+    assert learn_weights(table) == learn_weights(often)
+
+
+def test_weights_count_words_and_tags_by_hand():
+    page = "<div class=x>o<article class='x y'><nav>n n</nav><p>a b c</p></article></div><aside><p>q</aside>"
+    got = counted(page)
+    assert got["word", "p", True] == 3 and got["word", ".x", True] == 5 and got["word", ".x", False] == 1
+    assert got["word", "nav", True] == 2 and got["word", "aside", False] == 1
+    assert got["word", "p", False] == 0 and got["tag", "p", True] == 2 and got["tag", "nav", True] == 0
+
+
+def test_fit_equals_coordinate_by_coordinate_ftrl():
+    pick = random.Random(4)
+    rows = [sorted(pick.sample(range(30), pick.randint(1, 9))) for _ in range(80)]
+    marks = [float(3 in row or 7 in row) for row in rows]
+    how = Training(epochs=3, l1=0.3, rarest=2)
+    places, weights, bias = fit([np.array(r, dtype=np.int32) for r in rows], np.array(marks), how)
+    seen = Counter(p for row in rows for p in row)
+    z, n = Counter(), Counter()
+
+    def weight(p):
+        if abs(z[p]) <= how.l1:
+            return 0.0
+        rate = (how.beta + math.sqrt(n[p])) / how.alpha + how.l2
+        return -math.copysign(abs(z[p]) - how.l1, z[p]) / rate
+
+    order = np.random.default_rng(11)
+    for _ in range(how.epochs):
+        for i in order.permutation(len(rows)):
+            used = [p for p in rows[i] if seen[p] >= how.rarest] + ["bias"]
+            error = 1 / (1 + math.exp(-sum(weight(p) for p in used))) - marks[i]
+            for p, w in [(p, weight(p)) for p in used]:
+                step = (math.sqrt(n[p] + error**2) - math.sqrt(n[p])) / how.alpha
+                z[p] += error - step * w
+                n[p] += error**2
+    want = {p: weight(p) for p in z if p != "bias" and weight(p) != 0}
+    assert dict(zip(places.tolist(), weights)) == pytest.approx(want)
+    assert bias == pytest.approx(weight("bias"))
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    rows = [(i, f"word{i % 7} bad" if i % 3 else f"word{i % 5}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [rows[4]] * 2000, "doc_id long, text string")
+    marks = [(i, int(i % 3 > 0)) for i in range(60)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    repeated = spark.createDataFrame(marks + [marks[4]] * 50, "doc_id long, toxic int")
+    how = Training(l1=0.1)
+
+    def model(*tables, how=how):
+        return sorted(tuple(r) for r in train(*tables, how).collect())
+
+    assert model(docs, labels) == model(often, repeated) and len(model(docs, labels)) > 1
+    few = model(docs, labels, how=Training(l1=0.1, sample=10))
+    assert few == model(often, repeated, how=Training(l1=0.1, sample=10)) != model(docs, labels)
+    assert model(docs, labels, how=Training(l1=0.1, most=0)) == model(docs, labels.limit(0))
