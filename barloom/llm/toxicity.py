@@ -6,9 +6,10 @@ goes through a bounded sample of labelled rows; every coordinate has its own lea
 L1 term leaves most weights at zero, so the model is a short list of places and weights, which is
 broadcast. Scoring is a map over the documents.
 
-Defined cases: a null text is the empty text and scores by the bias alone; a label for several rows
-of one id counts for each row; labels that are null, and labels without a document, are ignored;
-without any labels nothing is known to be toxic and every score is about 0; an empty table gives no rows; other columns are never read.
+Defined cases: a null text is the empty text and scores by the bias alone; of several rows of one id
+training sees the one with the smallest text, of several labels the greatest; labels that are null,
+and labels without a document, are ignored; without any labels nothing is known to be toxic and every
+score is about 0; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +39,13 @@ _SEPARATORS = bytes(b for b in range(128) if b not in _WORD_BYTES)
 
 @dataclass(frozen=True)
 class Training:
-    """``sample`` bounds the labelled rows that training sees, taken by a hash of their ids."""
+    """``sample`` bounds the labelled documents that training sees, ``most`` their features.
+
+    Both take documents in the order of a hash of their ids.
+    """
 
     sample: int = 16_000
+    most: int = 64_000_000
     epochs: int = 5
     alpha: float = 1.0
     beta: float = 1.0
@@ -108,12 +113,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, training: Training) -> tuple
 def sampled_labels(
     labels: DataFrame, sample: int, key: str = "doc_id", label: str = "toxic"
 ) -> DataFrame:
-    """At most ``sample`` rows (id, label) that training may see, by a hash of the id."""
+    """At most ``sample`` ids with their label that training may see, by a hash of the id."""
     known = labels.select(
         F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("double").alias("label")
     ).where("label IS NOT NULL AND id IS NOT NULL")
     known = known.where(~held_out(F.col("id")))
-    return known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    return known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
 
 def held_out(id_: Column) -> Column:
@@ -139,7 +145,7 @@ def train(
     chosen = F.broadcast(sampled_labels(labels, training.sample, key, label))
     rows = docs.select(
         F.col(f"`{key}`").alias("id"), text_of(F.col(f"`{text}`")).alias("text")
-    ).join(chosen, "id")
+    ).join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
@@ -178,9 +184,13 @@ def train(
         )
 
     schema = rows.select("id", "label").schema.add("size", "long").add("places", "binary")
+    so_far = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.select("id", "label", "text")
         .mapInArrow(extract, schema)
+        .withColumn("so_far", F.sum("size").over(so_far))
+        .where(F.col("so_far") <= training.most)
+        .drop("so_far")
         .groupBy(F.lit(0).alias("sample"))
         .applyInArrow(learn, "place int, weight double")
     )
