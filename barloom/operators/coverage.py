@@ -10,11 +10,18 @@ from barloom.schema import CROSS_RESOLUTION_LAG_DAYS, DAILY_TYPES, DAY, KEY, MIN
 
 def coverage(bars: DataFrame, today: str) -> DataFrame:
     """Rows, date range and calendar lag per instrument and resolution."""
-    held = bars.groupBy(KEY, "resolution").agg(
-        F.count("*").alias("rows"),
-        F.to_date(F.min("window_start")).alias("min_date"),
-        F.to_date(F.max("window_start")).alias("max_date"),
+    return with_lag(
+        bars.groupBy(KEY, "resolution").agg(
+            F.count("*").alias("rows"),
+            F.to_date(F.min("window_start")).alias("min_date"),
+            F.to_date(F.max("window_start")).alias("max_date"),
+        ),
+        today,
     )
+
+
+def with_lag(held: DataFrame, today: str) -> DataFrame:
+    """Rows and ranges, for example those of a table's manifest, with lag and staleness."""
     lag = F.date_diff(F.lit(today).cast("date"), F.col("max_date"))
     return held.withColumn("lag_days", lag).withColumn("stale", is_stale())
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.operators.merge import merge_runs
 from barloom.schema import KEY
-from barloom.session import materialize
 from barloom.sources.store import (
     PARTITIONS,
     RUNS,
@@ -35,30 +33,18 @@ def landed_runs(
     return as_bars(reader.parquet(root))
 
 
-def _stored(spark: SparkSession, bars_root: str, touched: DataFrame) -> DataFrame | None:
-    """Bars of the touched months, None before the first batch; any other error is raised."""
-    try:
-        return bars_in_partitions(spark, bars_root, touched)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def merge_batch(batch: DataFrame, bars_root: str) -> None:
-    """Merge one batch into the months it touches and replace just those.
+    """Merge one batch into the months it touches and replace just those, all at once.
 
     A replayed batch finds its own rows already stored and changes nothing. The
-    merged months are written to the shared folder before the table's folders
-    are replaced, as these are read by the same plan.
+    merged months are a new version; readers see them when the manifest names it.
     """
     if SEQUENCE not in batch.columns:
         batch = batch.withColumn(SEQUENCE, F.lit(None).cast("long"))
     fresh = conform(batch, SEQUENCE).persist()
     try:
-        stored = _stored(batch.sparkSession, bars_root, touched_months(fresh))
-        merged = fresh if stored is None else stored.unionByName(fresh)
-        write_bars(materialize(merge_runs(merged), "merged-months"), bars_root)
+        stored = bars_in_partitions(batch.sparkSession, bars_root, touched_months(fresh))
+        write_bars(merge_runs(stored.unionByName(fresh)), bars_root)
     finally:
         fresh.unpersist()
 

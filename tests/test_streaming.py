@@ -77,7 +77,7 @@ def test_files_do_not_grow_with_symbols(spark, make_bars):
 
 
 def test_errors_other_than_a_missing_table_do_not_replace_it(spark, landed, tmp_path):
-    spoiled = tmp_path / "bars" / "instrument_type=stocks" / "resolution=1min" / "month=2025-05"
+    spoiled = tmp_path / "bars" / "_manifest"
     spoiled.mkdir(parents=True)
     (spoiled / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception):

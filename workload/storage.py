@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import planning
 from barloom.operators.adjust import split_factors
+from barloom.operators.coverage import with_lag
 from barloom.operators.merge import merge_runs
-from barloom.operators.planning import run_catalog
+from barloom.operators.resample import resample_days
 from barloom.session import materialize, scratch_path
-from barloom.sources import landing, overlays, store
+from barloom.sources import landing, manifest, overlays, store
 from barloom.sources import tickers as shards
 from barloom.streaming.freshness import freshness_view, start_monitor
 from barloom.streaming.merge import landed_runs, start_bars, start_merge
 from workload import derive as d
+from workload import sql
 from workload.registry import query
 from workload.sql import with_tables
 
@@ -328,12 +331,83 @@ query(
         "runs",
     ),
 )
+# What follows reads the manifests of the two tables, not their bars.
+
+
+def _run_catalog(s, sf):
+    return manifest.run_catalog(store.run_log(s, _saved_runs(s, sf)))
+
+
 query(
     "catalog_of_stored_runs",
-    lambda s, sf: run_catalog(store.read_runs(s, _saved_runs(s, sf))),
+    _run_catalog,
     "instrument_key ticker resolution run_id row_count window_start_min:s window_start_max:s",
     with_tables("SELECT * FROM catalog", "catalog"),
 )
+query(
+    "overview_of_stored_runs",
+    lambda s, sf: planning.run_overview(_run_catalog(s, sf), "2024-02-08"),
+    "instrument_key resolution ticker_count run_count latest_run_date done_today",
+    with_tables(
+        """
+        SELECT instrument_key, resolution, count(DISTINCT ticker) AS ticker_count,
+               count(*) AS run_count, substr(max(run_id), 1, 8) AS latest_run_date,
+               bool_or(run_id LIKE '20240208%') AS done_today
+        FROM catalog GROUP BY 1, 2
+        """,
+        "catalog",
+    ),
+)
+query(
+    "skip_stored_runs",
+    lambda s, sf: planning.skip_loaded(
+        d.instruments(s, sf).select(
+            "instrument_key", F.col("symbol").alias("ticker"), F.lit("1min").alias("resolution")
+        ),
+        _run_catalog(s, sf),
+        "2024-02-08",
+    ),
+    "instrument_key ticker resolution",
+    with_tables(
+        """
+        SELECT instrument_key, symbol AS ticker, '1min' AS resolution FROM instruments
+        WHERE NOT EXISTS (SELECT 1 FROM catalog c
+                          WHERE c.instrument_key = instruments.instrument_key
+                            AND c.ticker = symbol AND run_id LIKE '20240208%')
+        """,
+        "instruments",
+        "catalog",
+    ),
+)
+query(
+    "coverage_of_stored_bars",
+    lambda s, sf: with_lag(
+        manifest.held_rows(store.bars_log(s, _stored_bars(s, sf))), "2024-02-03"
+    ),
+    "instrument_key resolution rows min_date:s max_date:s lag_days",
+    with_tables(
+        "SELECT instrument_key, '1min' AS resolution, count(*) AS rows,"
+        " CAST(min(window_start) AS DATE) AS min_date, CAST(max(window_start) AS DATE) AS max_date,"
+        " DATE '2024-02-03' - CAST(max(window_start) AS DATE) AS lag_days FROM merged GROUP BY 1",
+        "merged",
+    ),
+)
+
+
+def _weeks_of_stored_bars(s, sf):
+    """Weekly bars of a stored table; first and last sessions come from its manifest."""
+    root = scratch_path(s, "bars")
+    store.write_bars(d.daily_bars(s, sf), root)
+    bounds = manifest.session_bounds(store.bars_log(s, root))
+    return resample_days(store.read_bars(s, root), 7, week_aligned=True, bounds=bounds)
+
+
+query(
+    "weekly_bars_of_stored_table",
+    _weeks_of_stored_bars,
+    f"instrument_key window_start:s {OHLC} session_end_date:s candle_count volume transactions",
+    with_tables(sql.days("db", 7, True), "db"),
+)
 query(
     "read_merged_bars",
     lambda s, sf: store.read_bars(
@@ -343,11 +417,15 @@ query(
     f"instrument_key ticker window_start:s {OHLC} volume run_id",
     with_tables("SELECT * FROM merged WHERE symbol IN ('CLICK', 'VIEW')", "merged"),
 )
+def _manifest(s, sf):
+    runs, bars = _saved_runs(s, sf), scratch_path(s, "bars")
+    store.write_bars(merge_runs(store.read_runs(s, runs)), bars)
+    return store.stored_manifest(s, runs, bars, fetched_at="2024-02-08T00:00:00")
+
+
 query(
     "manifest",
-    lambda s, sf: store.manifest(
-        store.read_runs(s, _saved_runs(s, sf)), fetched_at="2024-02-08T00:00:00"
-    ),
+    _manifest,
     "instrument_key resolution row_count source source_run_count duplicates_removed "
     "window_start_min:s window_start_max:s last_fetched_at",
     with_tables(
