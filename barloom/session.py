@@ -29,6 +29,23 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams with keyed state, which is kept in RocksDB.
+
+    The settings of the given session, but for its number of shuffle
+    partitions, are neither taken nor touched.
+    """
+    own = spark.newSession()
+    own.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    partitions = "spark.sql.shuffle.partitions"
+    own.conf.set(partitions, spark.conf.get(partitions))
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

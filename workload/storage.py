@@ -9,11 +9,12 @@ from barloom.operators.adjust import split_factors
 from barloom.operators.coverage import with_lag
 from barloom.operators.merge import merge_runs
 from barloom.operators.resample import resample_days
-from barloom.session import materialize, scratch_path
+from barloom.session import materialize, scratch_path, stateful_session
 from barloom.sources import landing, manifest, overlays, store
 from barloom.sources import tickers as shards
-from barloom.streaming.freshness import freshness_view, start_monitor
+from barloom.streaming.freshness import freshness_view, start_monitor, wait_until_drained
 from barloom.streaming.merge import landed_runs, start_bars, start_merge
+from barloom.streaming.sessions import session_bars_view, start_session_bars
 from workload import derive as d
 from workload import sql
 from workload.registry import query
@@ -604,12 +605,35 @@ query(
 )
 
 
+def _stream_sessions(s, sf):
+    """Session-anchored bars from the stream of raw runs, one run file after the other."""
+    own, out = stateful_session(s), scratch_path(s, "stream-sessions")
+    runs = landed_runs(own, _saved_runs(s, sf), 2)
+    # the second run corrects minutes of the whole month
+    start_session_bars(runs, out, 30, scratch_path(s, "checkpoint"), "60 days").awaitTermination()
+    return session_bars_view(s, out)
+
+
+query(
+    "stream_session_bars_30m",
+    _stream_sessions,
+    f"instrument_key window_start:s {OHLC} session_end_date:s candle_count ticker volume"
+    " transactions",
+    with_tables(sql.minutes("merged", 30), "merged"),
+)
+
+
 def _stream_freshness(s, sf):
-    root = scratch_path(s, "freshness")
-    start_monitor(
-        landed_runs(s, _saved_runs(s, sf)), root, scratch_path(s, "checkpoint")
-    ).awaitTermination()
-    return freshness_view(s, root, "2024-02-03")
+    own, checkpoint = stateful_session(s), scratch_path(s, "checkpoint")
+    runs = landed_runs(own, _saved_runs(s, sf))
+    monitor = start_monitor(
+        runs, scratch_path(s, "alerts"), checkpoint, processingTime="1 second"
+    )
+    try:
+        wait_until_drained(monitor)
+    finally:
+        monitor.stop()
+    return freshness_view(own, checkpoint, "2024-02-03")
 
 
 query(
