@@ -1,12 +1,17 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators.merge import merge_runs
-from barloom.session import scratch_path
+from barloom.operators.resample import resample_minutes
+from barloom.session import scratch_path, stateful_session
 from barloom.sources import store
 from barloom.streaming.bars import tumbling_bars
-from barloom.streaming.freshness import freshness_view, start_monitor
+from barloom.streaming.freshness import freshness_view, start_monitor, wait_until_drained
 from barloom.streaming.merge import landed_runs, merge_batch, start_bars, start_merge
+from barloom.streaming.sessions import session_bars_view, start_session_bars
 
 
 @pytest.fixture()
@@ -108,12 +113,76 @@ def test_tumbling_bars_stream_equals_batch_on_closed_windows(spark, landed):
     assert len(got) == 8
 
 
-def test_freshness_monitor(spark, landed):
-    root = scratch_path(spark, "freshness")
-    start_monitor(
-        landed_runs(spark, landed, 1), root, scratch_path(spark, "checkpoint")
-    ).awaitTermination()
+def test_freshness_is_read_from_state(spark, landed):
+    own, checkpoint = stateful_session(spark), scratch_path(spark, "checkpoint")
+    alerts = scratch_path(spark, "alerts")
+    monitor = start_monitor(
+        landed_runs(own, landed, 1), alerts, checkpoint, processingTime="1 second"
+    )
+    try:
+        wait_until_drained(monitor)
+    finally:
+        monitor.stop()
     out = {r.instrument_key: (str(r.latest), r.rows_seen, r.lag_days)
-           for r in freshness_view(spark, root, "2025-06-04").collect()}
+           for r in freshness_view(own, checkpoint, "2025-06-04").collect()}
     assert out == {"stocks:AAA": ("2025-06-01 00:14:00", 30, 3),
                    "stocks:BBB": ("2025-06-01 00:09:00", 20, 3)}
+    assert not os.path.exists(alerts)
+
+
+def test_silence_alone_raises_an_alert(spark, landed):
+    own, checkpoint = stateful_session(spark), scratch_path(spark, "checkpoint")
+    alerts = scratch_path(spark, "alerts")
+    monitor = start_monitor(
+        landed_runs(own, landed), alerts, checkpoint, 2, processingTime="1 second"
+    )
+    try:
+        wait_until_drained(monitor)
+        until = time.monotonic() + 90
+        told = []
+        while time.monotonic() < until and len(told) < 2:
+            time.sleep(1)
+            if os.path.exists(alerts):
+                told = spark.read.parquet(alerts).collect()
+    finally:
+        monitor.stop()
+    assert {(r.instrument_key, r.rows_seen) for r in told} == {("stocks:AAA", 30), ("stocks:BBB", 20)}
+    assert all(r.silent_since is not None for r in told)
+
+
+def test_session_bars_follow_late_and_corrected_minutes(spark, make_bars):
+    root, out = scratch_path(spark, "raw"), scratch_path(spark, "sessions")
+    times = [f"2025-06-02 09:{m:02d}" for m in range(12, 40)]
+    store.save_run(make_bars([(t, 1) for t in times]), root, "20250602T000000")
+    store.save_run(make_bars([(times[3], 70)]), root, "20250603T000000")
+    # an earlier first minute moves the grid of the session
+    store.save_run(make_bars([("2025-06-02 09:10", 5)]), root, "20250604T000000")
+    store.save_run(make_bars([(times[3], 60)]), root, "20250601T000000")
+    checkpoint = scratch_path(spark, "checkpoint")
+    runs = landed_runs(stateful_session(spark), root, 1)
+    start_session_bars(runs, out, 10, checkpoint).awaitTermination()
+    got = session_bars_view(spark, out).orderBy("window_start")
+    columns = ["window_start", "open", "high", "close", "candle_count", "volume"]
+    batch = resample_minutes(merge_runs(store.read_runs(spark, root)), 10).orderBy("window_start")
+    assert got.select(columns).collect() == batch.select(columns).collect()
+    first = got.first()
+    assert (str(first.window_start), first.open, first.high) == ("2025-06-02 09:10:00", 5.0, 71.0)
+    assert spark.read.parquet(out).select("emission").distinct().count() == 4
+
+
+def test_session_bars_forget_ended_sessions(spark, make_bars):
+    root, out = scratch_path(spark, "raw"), scratch_path(spark, "sessions")
+    times = [f"2025-06-02 09:{m:02d}" for m in range(20)]
+    store.save_run(make_bars([(t, 1) for t in times]), root, "20250602T000000")
+    checkpoint = scratch_path(spark, "checkpoint")
+    own = stateful_session(spark)
+    for run_id, moment in (("20250620T000000", "2025-06-20 09:00"), ("20250621T000000", times[5])):
+        start_session_bars(landed_runs(own, root), out, 10, checkpoint).awaitTermination()
+        store.save_run(make_bars([(moment, 9)]), root, run_id)
+    start_session_bars(landed_runs(own, root), out, 10, checkpoint).awaitTermination()
+    state = own.read.format("statestore").option("path", checkpoint)
+    kept = state.option("stateVarName", "session").load().select("key.session_end_date").collect()
+    assert [str(r[0]) for r in kept] == ["2025-06-20"]
+    # a correction after the end of a session's lateness is dropped
+    bars = session_bars_view(spark, out).where("session_end_date = '2025-06-02'").collect()
+    assert sorted(r.close for r in bars) == [1.5, 1.5]
