@@ -74,9 +74,13 @@ def tick_quality(bars: DataFrame, chain: DataFrame, trigger: float = 0.1) -> Dat
     )
 
 
+def failing_tickers(report: DataFrame) -> DataFrame:
+    """Tickers of a report that are in error; the totals of instruments are left out."""
+    return report.filter((F.col("status") == "ERREUR") & F.col("ticker").isNotNull())
+
+
 def assert_quality(report: DataFrame) -> None:
     """Action: raise if any ticker of the report is in error."""
-    failing = report.filter((F.col("status") == "ERREUR") & F.col("ticker").isNotNull())
-    first = failing.limit(1).collect()
+    first = failing_tickers(report).limit(1).collect()
     if first:
         raise DataQualityError(f"too many prices off the tick grid: {first[0].asDict()}")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import clock_seconds
@@ -18,6 +19,8 @@ from barloom.operators.filters import (
     filter_intraday,
     filter_range,
     first_bars,
+    latest_page,
+    parse_bound,
     select_columns,
 )
 from barloom.operators.resample import (
@@ -27,9 +30,10 @@ from barloom.operators.resample import (
     session_bounds,
 )
 from barloom.operators.roll import adjust_rolls, dedupe_timestamps
-from barloom.operators.ticks import normalize_ticks, tick_quality
+from barloom.operators.ticks import failing_tickers, normalize_ticks, tick_quality
 from barloom.schema import DAY, KEY, MINUTE
 from barloom.session import materialize
+from barloom.sources import store
 
 
 @dataclass(frozen=True)
@@ -154,3 +158,82 @@ def query_quality(
     """Tick report over the rows of a query, before duplicates are folded."""
     rows = before_quality(bars, query, chain=chain, splits=splits, dividends=dividends)
     return tick_quality(rows, chain, trigger)
+
+
+def query_gate(
+    bars: DataFrame,
+    query: BarQuery,
+    chain: DataFrame,
+    *,
+    trigger: float = 0.1,
+    splits: DataFrame | None = None,
+    dividends: DataFrame | None = None,
+) -> DataFrame:
+    """Tickers for which the query must not be answered: too many of its rows are off the grid."""
+    return failing_tickers(
+        query_quality(bars, query, chain, trigger=trigger, splits=splits, dividends=dividends)
+    )
+
+
+def _month_of_page(log: DataFrame, query: BarQuery, n: int) -> str | None:
+    """The month from which on every series surely has ``n`` bars of the query's time scale.
+
+    A bar takes up k base bars at most, and a session drops one bar at most, so
+    the rows that the manifest counts per month bound a page from below. Of
+    tickers that may trade at the same minutes the busiest counts. The month
+    itself isn't counted, as its first session may have begun before it. None:
+    read from the start.
+    """
+    scale = query.check(has_chain=True)
+    if query.begin is not None or scale["k_days"] > 1:
+        return None
+    last = parse_bound(query.end, is_end=True)
+    if last is not None:  # of the month of the end only a part may be asked for
+        log = log.where(F.col("month") < last.strftime("%Y-%m"))
+    k = scale["k_minutes"]
+    dropped = 32 if k > 1 else 0
+    busiest = log.groupBy(KEY, "resolution", "month", "ticker").agg(F.sum("row_count").alias("rows"))
+    months = busiest.groupBy(KEY, "resolution", "month").agg(F.max("rows").alias("rows"))
+    surely = F.greatest(F.lit(0), F.floor(F.col("rows") / k) - dropped)
+    later = W.partitionBy(KEY, "resolution").orderBy(F.desc("month")).rowsBetween(
+        W.unboundedPreceding, -1
+    )
+    reached = months.withColumn("held", F.coalesce(F.sum(surely).over(later), F.lit(0)))
+    start = reached.groupBy(KEY, "resolution").agg(
+        F.max(F.when(F.col("held") >= n, F.col("month"))).alias("start")
+    )
+    # a series with too few bars for a page is read whole
+    row = start.agg(F.min("start").alias("start"), F.bool_and(F.col("start").isNotNull()).alias("all"))
+    found = row.first()
+    return found["start"] if found["all"] else None
+
+
+def query_latest_page(
+    spark: SparkSession,
+    root: str,
+    query: BarQuery,
+    n: int,
+    *,
+    instrument_type: str | None = None,
+    symbols: list[str] | None = None,
+    chain: DataFrame | None = None,
+    splits: DataFrame | None = None,
+    dividends: DataFrame | None = None,
+) -> DataFrame:
+    """The last ``n`` bars of the query per instrument, from a stored table.
+
+    The manifest tells from which month on the page lies; only from there bars
+    are read, adjusted and resampled.
+    """
+    resolution = parse_timescale(query.timescale)["resolution"]
+    log = store.bars_log(spark, root).where(F.col("resolution") == resolution)
+    if instrument_type is not None:
+        log = log.where(F.col("instrument_type") == instrument_type)
+    if symbols is not None:
+        log = log.where(F.substring_index(KEY, ":", -1).isin(symbols))
+    bars = store.read_bars(
+        spark, root, instrument_type=instrument_type, symbols=symbols, resolution=resolution,
+        months=(_month_of_page(log, query, n), None),
+    )
+    rows = query_bars(bars, query, chain=chain, splits=splits, dividends=dividends)
+    return latest_page(rows, n)

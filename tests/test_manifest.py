@@ -1,10 +1,15 @@
 """The log beside stored tables: whole writes or none, and figures without reading bars."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 
+from barloom.operators.filters import latest_page
 from barloom.operators.merge import merge_report, merge_runs
 from barloom.operators.planning import run_catalog
 from barloom.operators.resample import session_bounds
+from barloom.plans.bar_query import BarQuery, query_bars, query_latest_page
 from barloom.session import scratch_path
 from barloom.sources import manifest, store
 from barloom.streaming.merge import landed_runs, merge_batch, start_merge
@@ -112,3 +117,28 @@ def test_stream_writes_a_month_once_per_batch(spark, runs):
     start_merge(landed_runs(spark, runs), bars, scratch_path(spark, "check")).awaitTermination()
     assert manifest.entries(spark, bars).select("version").distinct().count() == 1
     assert manifest.replaced_parts(spark, bars) == []
+
+
+def test_latest_page_reads_the_months_that_hold_it(spark, make_bars, minutes):
+    root = scratch_path(spark, "bars")
+    parts = [make_bars(minutes(f"2025-{m:02d}-05 09:30", 300)) for m in range(1, 7)]
+    parts.append(make_bars(minutes("2025-05-31 23:30", 60), session="2025-06-01"))
+    parts += [
+        make_bars(minutes(f"2025-{m:02d}-{day:02d} 09:00", 400), symbol="BBB")
+        for m in (5, 6) for day in range(1, 13)
+    ]
+    store.write_bars(reduce(DataFrame.unionByName, parts), root)
+    for scale, n, months in (("30min", 2, None), ("1min", 200, 5), ("1min", 350, 4), ("1min", 3000, None)):
+        query = BarQuery(scale)
+        page = query_latest_page(spark, root, query, n)
+        whole = latest_page(query_bars(store.read_bars(spark, root), query), n)
+        assert _rows(page) == _rows(whole)
+        read = {f.split("month=2025-")[1][:2] for f in page.inputFiles()}
+        assert min(read) == f"{months or 1:02d}"
+    page = query_latest_page(spark, root, BarQuery("30min"), 20, symbols=["BBB"])
+    whole = latest_page(query_bars(store.read_bars(spark, root, symbols=["BBB"]), BarQuery("30min")), 20)
+    assert _rows(page) == _rows(whole)
+    assert {f.split("month=2025-")[1][:2] for f in page.inputFiles()} == {"05", "06"}
+    early = query_latest_page(spark, root, BarQuery("1min", end="2025-04-30"), 10)
+    assert {r.window_start.month for r in early.collect()} == {4}
+    assert {f.split("month=2025-")[1][:2] for f in early.inputFiles()} > {"03", "04"}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import adjust, basket, filters, merge, resample, roll, ticks
-from barloom.plans.bar_query import BarQuery, query_bars, query_quality
+from barloom.plans.bar_query import BarQuery, query_bars, query_gate, query_quality
 from barloom.session import materialize
 from workload import derive as d
 from workload import sql
-from workload.registry import query
+from workload.registry import REGISTERED, query
 from workload.sql import with_tables
 
 OHLC = "open:6 high:6 low:6 close:6"
@@ -625,3 +625,9 @@ query(
         },
     ),
 )
+query(
+    "query_quality_gate",
+    lambda s, sf: query_gate(d.contract_bars(s, sf), BarQuery("1min"), _chain(s, sf)),
+    "instrument_key ticker bad_candles total_candles ratio:8",
+    f"SELECT * FROM ({REGISTERED['tick_quality'].sql}) WHERE status = 'ERREUR' AND ticker IS NOT NULL",
+)

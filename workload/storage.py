@@ -9,6 +9,7 @@ from barloom.operators.adjust import split_factors
 from barloom.operators.coverage import with_lag
 from barloom.operators.merge import merge_runs
 from barloom.operators.resample import resample_days
+from barloom.plans.bar_query import BarQuery, query_latest_page
 from barloom.session import materialize, scratch_path, stateful_session
 from barloom.sources import landing, manifest, overlays, store
 from barloom.sources import tickers as shards
@@ -467,6 +468,18 @@ query(
 )
 
 
+query(
+    "query_latest_page_30m",
+    lambda s, sf: query_latest_page(s, _stored_bars(s, sf), BarQuery("30min"), 20),
+    f"instrument_key window_start:s {OHLC} session_end_date:s candle_count ticker volume",
+    with_tables(
+        f"SELECT * FROM ({sql.minutes('merged', 30)}) QUALIFY row_number() OVER"
+        " (PARTITION BY instrument_key ORDER BY window_start DESC) <= 20",
+        "merged",
+    ),
+)
+
+
 def _exported(s, sf):
     """Daily bars, all columns, exported as CSV and read again."""
     path = scratch_path(s, "export") + ".csv"
