@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,13 +67,8 @@ def asset_class_of_market(market: Column) -> Column:
 
 
 def is_skipped_stock(symbol: Column) -> Column:
-    upper = F.upper(F.trim(symbol))
-    # A trailing line break never occurs in a trimmed symbol, so endswith is exact.
-    hits = [F.endswith(upper, F.lit(s)) for s in SKIPPED_SUFFIXES]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
-    return found
+    suffixes = "|".join(map(re.escape, SKIPPED_SUFFIXES))
+    return F.upper(F.trim(symbol)).rlike(rf"({suffixes})\z")
 
 
 def daily_vendor_ticker(

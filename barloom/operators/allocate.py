@@ -11,15 +11,30 @@ from barloom.operators.portfolio import PORTFOLIO
 from barloom.schema import MIN_WEIGHT
 
 
+#: Decisions packed into one number, so that a fold doesn't copy all of them at each step.
+PACKED = 62
+
+
 def _buy_residual(acc: Column, row: Column) -> Column:
     """Buy one more share of a row that is still short, if the cash allows it."""
     buys = (row.floor < row.cap) & (row.deficit > 1e-9) & (row.price <= acc.cash + 1e-12)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), acc.n)
+    pack = acc.pack + F.when(buys, bit).otherwise(F.lit(0).cast("bigint"))
+    full = acc.n == PACKED - 1
     return F.struct(
         (acc.cash - F.when(buys, row.price).otherwise(0.0)).alias("cash"),
-        F.array_append(acc.bought, buys.cast("int")).alias("bought"),
+        F.when(full, F.lit(0).cast("bigint")).otherwise(pack).alias("pack"),
+        F.when(full, F.lit(0)).otherwise(acc.n + 1).alias("n"),
+        F.when(full, F.array_append(acc.packs, pack)).otherwise(acc.packs).alias("packs"),
     )
 
 
+def _bought(packs: Column, i: Column) -> Column:
+    """Whether the i-th row of the fold was bought, as 0 or 1."""
+    pack = F.get(packs, F.floor(i / PACKED).cast("int"))
+    return F.call_function("shiftright", pack, (i % PACKED).cast("int")).bitwiseAND(F.lit(1))
+
+
 def allocate_discrete(
     weights: DataFrame, prices: DataFrame, value: float, *, min_weight: float = MIN_WEIGHT
 ) -> DataFrame:
@@ -53,7 +68,9 @@ def allocate_discrete(
     )
     start = F.struct(
         (F.lit(float(value)) - F.col("_spent")).alias("cash"),
-        F.array().cast("array<int>").alias("bought"),
+        F.lit(0).cast("bigint").alias("pack"),
+        F.lit(0).alias("n"),
+        F.array().cast("array<bigint>").alias("packs"),
     )
     folded = (
         lots.groupBy(*PORTFOLIO)
@@ -62,9 +79,13 @@ def allocate_discrete(
             F.sum(F.col("floor") * F.col("price")).alias("_spent"),
         )
         .withColumn("_fold", F.aggregate("_rows", start, _buy_residual))
+        .withColumn("_packs", F.array_append("_fold.packs", F.col("_fold.pack")))
     )
     # what the fold bought stands at the position of its row
-    both = F.arrays_zip(F.col("_rows").alias("row"), F.col("_fold.bought").alias("extra"))
+    both = F.transform(
+        "_rows",
+        lambda row, i: F.struct(row.alias("row"), _bought(F.col("_packs"), i).alias("extra")),
+    )
     bought = folded.select(*PORTFOLIO, F.inline(both)).select(
         *PORTFOLIO,
         "row.symbol",

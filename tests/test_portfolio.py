@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -247,3 +248,29 @@ def test_rates(spark, make_bars):
            for r in resolve_rates(requests, yield_quotes(bars), 0.04).collect()}
     assert out == {"a": ("explicit", 0.01, "None"), "b": ("series", 0.042, "2024-01-02"),
                    "c": ("static", 0.04, "None")}
+
+
+def test_allocation_of_many_symbols_equals_the_greedy_search(spark):
+    n, value = 200, 50_000.0
+    prices = [("u", f"S{i:03d}", 3.0 + (i * 37 % 101)) for i in range(n)]
+    raw = [1.0 + (i * 53 % 29) for i in range(n)]
+    weights = [("u", "p", f"S{i:03d}", raw[i] / sum(raw)) for i in range(n)]
+    got = allocate.allocate_discrete(
+        spark.createDataFrame(weights, "universe string, portfolio_id string, symbol string, weight double"),
+        spark.createDataFrame(prices, "universe string, symbol string, price double"),
+        value,
+    )
+    price = {s: p for _, s, p in prices}
+    target = {s: w * value for _, _, s, w in weights}
+    shares = {s: int(t / price[s] + 1e-12) if t + 1e-9 >= price[s] else 0 for s, t in target.items()}
+    cap = {s: math.ceil(t / price[s] - 1e-12) if t + 1e-9 >= price[s] else 0 for s, t in target.items()}
+    cash = value - sum(shares[s] * price[s] for s in shares)
+    while True:
+        short = [(t - shares[s] * price[s], s) for s, t in target.items()
+                 if shares[s] < cap[s] and price[s] <= cash + 1e-12 and t - shares[s] * price[s] > 1e-9]
+        if not short:
+            break
+        best = min(short, key=lambda x: (-x[0], x[1]))[1]
+        shares[best] += 1
+        cash -= price[best]
+    assert {r.symbol: r.shares for r in got.collect()} == shares
