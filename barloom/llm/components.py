@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 from barloom.llm.base import stored
 
 
+#: Parts into which the neighbours of a node are dealt.
+PARTS = 128
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b, m) with the smallest neighbour m of a, and the nodes (a, m).
+
+    The minimum is taken per part of a node's neighbours, then over its parts,
+    and goes back to the parts: no task gets all neighbours of a hub.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    nodes = parts.groupBy("a").agg(F.min("m").alias("m"))
+    told = parts.select("a", "part").join(nodes, "a")
+    return dealt.join(told, ["a", "part"]).select("a", "b", "m"), nodes
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Greater neighbours of every node move to its smallest neighbour."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    known, _ = _with_least(both)
+    moved = known.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     return moved.where("a != b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+    known, nodes = _with_least(edges)
+    moved = known.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionAll(nodes.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
