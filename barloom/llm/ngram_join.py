@@ -1,9 +1,9 @@
-"""Jaccard self-join on word n-grams with a MinHash LSH forest.
+"""Jaccard self-join on word n-grams with MinHash prefix trees of one length.
 
 A document's signature has a label path for each of TREES prefix trees. Two documents meet in a tree
-if their paths agree on a prefix. The prefix is shortened from MAX_DEPTH labels on until a pair at
-the threshold similarity meets in some tree with the target probability. Tree nodes with two or more
-members are the candidates; members are verified against each other by exact intersection of their
+if their paths agree on a prefix. Its length is the longest, MAX_DEPTH at most, at which a pair at
+the threshold similarity meets in some tree with the target probability; it is computed before any
+row is read, so that this is banding. Tree nodes with two or more members are the candidates; members are verified against each other by exact intersection of their
 n-gram sets.
 
 Documents of one word sequence are one class. Tree nodes of equal membership are verified once, and
@@ -238,9 +238,9 @@ def _linked(
     classes = stored(
         rows.groupBy("class").agg(
             F.count(F.lit(1)).alias("size"),
-            F.min("place").alias("rep"),
+            F.min(F.struct("place", "file", "row")).alias("first"),
             F.max("prefixes").alias("prefixes"),
-        ),
+        ).withColumn("rep", F.col("first.place")),
         "text-classes",
     )
     entries = classes.select("class", F.posexplode("prefixes").alias("tree", "prefix"))
@@ -271,14 +271,14 @@ def _linked(
         )
     )
     cells = stored(cells, "cells")
+    # one row stands for its class, found by its place: ids may be null or repeated
     wanted = classes.join(cells.select("class").distinct(), "class").select(
-        "class", F.col("rep").alias("place")
+        "class", "first.file", "first.row"
     )
     sets = (
-        said.join(wanted, "place")
+        said.join(wanted, ["file", "row"])
         .select("class", "text")
         .mapInArrow(_gatherer(n), "class long, grams binary")
-        .dropDuplicates(["class"])
     )
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     filled = (

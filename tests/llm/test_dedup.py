@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import ngram_join
+from barloom.llm.components import components
 from barloom.llm.exact_dedup import dedup_decisions, drop_copies
 from barloom.llm.ngram_join import depth_for, keep_one_each, similar_documents
 from barloom.llm.substring_dedup import ANCHOR, COVER, PERIOD, remove_repeats
@@ -118,7 +119,30 @@ def test_similar_odd_rows(spark):
     assert similar_documents(docs.limit(0)).count() == 0
 
 
-def test_prefixes_are_shortened_to_the_recall():
+def test_length_of_prefixes_meets_the_recall():
     depth = depth_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.9999
     assert 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES < 0.9999
+
+
+def test_hub_chain_and_loops_become_stars(spark, monkeypatch):
+    monkeypatch.setattr("barloom.llm.components.PARTS", 4)
+    hub = [(1000, i) for i in range(1001, 1400)] + [(i, 1000) for i in range(900, 950)]
+    chain = [(i, i + 1) for i in range(20)]
+    loops = [(5000, 5000), (6001, 6000), (6000, 6001)]
+    found = components(spark.createDataFrame(hub + chain + loops, "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == {
+        *[(i, 900) for i in (*range(901, 950), *range(1000, 1400))],
+        *[(i, 0) for i in range(1, 21)],
+        (6001, 6000),
+    }
+
+
+def test_repeated_and_null_ids_of_the_ngram_join(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{base} x{i % 3}") for i in range(40)] + [(7, f"{base} y")] * 30
+    docs = spark.createDataFrame([*rows, (8, "alone here")], "doc_id long, text string")
+    found = similar_documents(docs).groupBy("doc_id", "class_id", "n_links", "n_texts").count()
+    assert sorted((tuple(r) for r in found.collect()), key=str) == [
+        (7, 7, 69, 4, 30), (8, 8, 0, 1, 1), (None, 7, 69, 4, 40),
+    ]
