@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from barloom.functions import bound
 from barloom.operators import coverage, filters, planning, summary, tickers
 from barloom.operators.roll import roll_chain
-from barloom.session import materialize
+from barloom.session import materialize, scratch_path
 from barloom.sources.landing import ticker_rows
+from barloom.sources.ticker_index import search_index, write_index
 from workload import derive as d
-from workload.registry import query
+from workload.registry import REGISTERED, query
 from workload.sql import with_tables
 
 TODAY = "2024-02-03"
@@ -464,6 +465,22 @@ query(
         "tickers",
     ),
 )
+
+
+def _ticker_index(s, sf):
+    root = scratch_path(s, "ticker-index")
+    write_index(_listing(s, sf), root)
+    return root
+
+
+query(
+    "search_with_index",
+    lambda s, sf: search_index(
+        s, _ticker_index(s, sf), query=" RED ", markets=["Stocks", "otc"], active=True
+    ),
+    "ticker name market type active",
+    REGISTERED["search_by_text"].sql,
+)
 query(
     "search_by_type",
     lambda s, sf: tickers.search_tickers(
