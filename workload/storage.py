@@ -13,6 +13,7 @@ from barloom.plans.bar_query import BarQuery, query_latest_page
 from barloom.session import materialize, scratch_path, stateful_session
 from barloom.sources import landing, manifest, overlays, store
 from barloom.sources import tickers as shards
+from barloom.sources.widening import read_widened_runs
 from barloom.streaming.freshness import freshness_view, start_monitor, wait_until_drained
 from barloom.streaming.merge import landed_runs, start_bars, start_merge
 from barloom.streaming.sessions import session_bars_view, start_session_bars
@@ -333,6 +334,35 @@ query(
         "runs",
     ),
 )
+
+
+def _differing_runs(s, sf):
+    """Both loads as other programs left them: columns of other types, one without a volume."""
+    root = scratch_path(s, "foreign-runs")
+    rows = store.with_month(d.runs(s, sf)).drop("product_code", "instrument_key")
+    early = F.col("run_id") == "20240201T000000"
+    fx = F.col("instrument_type") == "forex"
+    for part in (
+        rows.filter(early).withColumn("volume", F.col("volume").cast("int")),
+        rows.filter(~early & ~fx).withColumn("volume", F.col("volume").cast("double")),
+        rows.filter(~early & fx).drop("volume"),
+    ):
+        part.write.mode("append").partitionBy(
+            "run_id", "instrument_type", "resolution", "month"
+        ).parquet(root)
+    return root
+
+
+query(
+    "read_widened_runs",
+    lambda s, sf: read_widened_runs(s, _differing_runs(s, sf)),
+    f"run_id instrument_type symbol ticker window_start:s {OHLC} volume:2",
+    with_tables(
+        "SELECT * REPLACE (CASE WHEN run_id < '20240205' OR instrument_type <> 'forex'"
+        " THEN CAST(volume AS DOUBLE) END AS volume) FROM runs",
+        "runs",
+    ),
+)
 # What follows reads the manifests of the two tables, not their bars.
 
 
