@@ -90,6 +90,53 @@ def adjust_dividends(bars: DataFrame, dividends: DataFrame, **bounds) -> DataFra
     return _scale(joined, F.coalesce("_factor", F.lit(1.0)), OHLC).drop("_factor")
 
 
+def merged_actions(splits: DataFrame | None, dividends: DataFrame | None) -> DataFrame:
+    """One row per key and date ``_date`` with the factors that hold before it.
+
+    ``_split`` is that of the first split on or after the date, ``_dividend``
+    that of the first ex-date; null where none follows. Of actions on one date
+    the smallest factor, which carries them all, is kept.
+    """
+    kinds = {"_split": (splits, "execution_date"), "_dividend": (dividends, "ex_dividend_date")}
+    dated = []
+    for name, (actions, date_col) in kinds.items():
+        if actions is not None:
+            factors = [
+                F.col("historical_adjustment_factor") if n == name else F.lit(None).cast("double")
+                for n in kinds
+            ]
+            named = [f.alias(n) for f, n in zip(factors, kinds)]
+            dated.append(actions.select(KEY, F.col(date_col).alias("_date"), *named))
+    both = dated[0] if len(dated) == 1 else dated[0].unionAll(dated[1])
+    per_date = both.filter("_date IS NOT NULL").groupBy(KEY, "_date").agg(
+        *[F.min(n).alias(n) for n in kinds]
+    )
+    onwards = W.partitionBy(KEY).orderBy("_date").rowsBetween(
+        W.currentRow, W.unboundedFollowing
+    )
+    return per_date.withColumns({n: F.first(n, ignorenulls=True).over(onwards) for n in kinds})
+
+
+def adjust_actions(
+    bars: DataFrame, splits: DataFrame | None, dividends: DataFrame | None
+) -> DataFrame:
+    """Splits and dividends of each bar's date by one as-of join; either may be missing."""
+    given = [x for x in (splits, dividends) if x is not None]
+    if not given:
+        return bars
+    bound = given[0].select(KEY) if len(given) == 1 else splits.select(KEY).unionAll(
+        dividends.select(KEY)
+    )
+    joined = asof_next(
+        bars, merged_actions(splits, dividends), "_date", ["_split", "_dividend"],
+        at=F.to_date("window_start"), bounded_by=bound,
+    )
+    factor = F.coalesce(F.nullif("_split", F.lit(0.0)), F.lit(1.0)) * F.coalesce(
+        "_dividend", F.lit(1.0)
+    )
+    return _scale(joined, factor, OHLC).drop("_split", "_dividend")
+
+
 def _later_product(date_col: str) -> "W":
     return (
         W.partitionBy(KEY)

@@ -30,18 +30,37 @@ def basket_legs(weights: DataFrame, bars: DataFrame, min_weight: float = MIN_WEI
     )
 
 
-def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -> DataFrame:
-    """Weighted sum of the legs on their common timestamps, first close at ``rebase``.
+def leg_report(weights: DataFrame, bars: DataFrame, min_weight: float = MIN_WEIGHT) -> DataFrame:
+    """Every leg on every track, with its share ``part`` or why it has none (``left_out``).
 
-    Legs are combined at the base resolution, each track apart; resample the
-    result afterwards. Baskets appear as instruments keyed ``portfolio:<basket>``.
+    ``bars`` may be a list of the series that have bars. Reasons are ``weight``
+    (below ``min_weight``, or null) and ``no bars``.
     """
-    legs, series = basket_legs(weights, bars), track(bars)
-    on = ["basket", *[c for c in series if c != KEY]]
-    wanted = [*series, "window_start", *OHLC] + (["volume"] if "volume" in bars.columns else [])
-    joined = lookup_join(bars.select(*wanted), legs, series, how="inner", bounded_by=weights)
-    volume = F.coalesce(F.col("volume"), F.lit(0)) if "volume" in wanted else F.lit(0.0)
-    combined = (
+    series = track(bars)
+    legs = basket_legs(weights, bars, min_weight)
+    kept = legs.select("basket", *series, F.col("weight").alias("part"))
+    asked = weights
+    if "resolution" in series:
+        tracks = F.broadcast(bars.select("resolution").distinct())
+        asked = weights.join(tracks, F.lit(True), "cross")
+    too_small = F.col("weight").isNull() | (F.col("weight") < min_weight)
+    reason = F.when(too_small, F.lit("weight")).when(F.col("part").isNull(), F.lit("no bars"))
+    return asked.join(kept, ["basket", *series], "left").withColumn("left_out", reason)
+
+
+def with_legs(bars: DataFrame, legs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The bars of the legs, once per basket, with the leg's weight."""
+    wanted = [*track(bars), "window_start", *OHLC]
+    wanted += ["volume"] if "volume" in bars.columns else []
+    return lookup_join(bars.select(*wanted), legs, track(bars), how="inner", bounded_by=weights)
+
+
+def combined_legs(joined: DataFrame) -> DataFrame:
+    """Weighted sums of the legs on the times that all legs of a basket have."""
+    on = ["basket", *[c for c in track(joined) if c != KEY]]
+    has_volume = "volume" in joined.columns
+    volume = F.coalesce(F.col("volume"), F.lit(0)) if has_volume else F.lit(0.0)
+    return (
         joined.groupBy(*on, "window_start")
         .agg(
             *[F.sum(F.col(c) * F.col("weight")).alias(c) for c in OHLC],
@@ -51,6 +70,11 @@ def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -
         )
         .filter("_present = _legs")
     )
+
+
+def rebased(combined: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -> DataFrame:
+    """The sums as bars whose first close is ``rebase``; a basket needs two times and a base."""
+    on = ["basket", *[c for c in combined.columns if c == "resolution"]]
     start = combined.groupBy(*on).agg(
         F.min_by("close", "window_start").alias("_base"), F.count("*").alias("_bars")
     )
@@ -69,3 +93,13 @@ def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -
         F.lit(0).cast("bigint").alias("transactions"),
         (close * F.col("volume")).alias("dollar_volume"),
     )
+
+
+def basket_bars(bars: DataFrame, weights: DataFrame, *, rebase: float = 100.0) -> DataFrame:
+    """Weighted sum of the legs on their common timestamps, first close at ``rebase``.
+
+    Legs are combined at the base resolution, each track apart; resample the
+    result afterwards. Baskets appear as instruments keyed ``portfolio:<basket>``.
+    """
+    joined = with_legs(bars, basket_legs(weights, bars), weights)
+    return rebased(combined_legs(joined), weights, rebase=rebase)

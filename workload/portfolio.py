@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from barloom.operators import allocate, basket, panel, portfolio, rates, resample, risk
 from barloom.operators.adjust import dividend_factors, split_factors
+from barloom.plans.bar_query import BarQuery
+from barloom.plans.basket import query_baskets
 from barloom.plans.portfolio import study
 from barloom.schema import FRONTIER_POINTS, SAMPLES
-from barloom.session import materialize
+from barloom.session import materialize, scratch_path
+from barloom.sources import manifest, store
 from workload import derive as d
 from workload import sql
 from workload.registry import query
@@ -668,6 +671,42 @@ query(
     "instrument_key window_start:s session_end_date:s open:5 high:5 low:5 close:5 candle_count",
     with_tables(sql.days("basket_bars", 7, True), "dl", extra=BASKET),
 )
+
+
+def _adjusted_basket_weeks(s, sf):
+    """Stored daily bars; which of them trade is read from their manifest."""
+    root = scratch_path(s, "bars")
+    store.write_bars(d.daily_bars(s, sf, "l_linenumber").withColumns(
+        {"instrument_type": F.lit("stocks"), "resolution": F.lit("1day"),
+         "symbol": F.substring_index("instrument_key", ":", -1)}), root)
+    bars = store.read_bars(s, root, resolution="1day")
+    splits = materialize(split_factors(d.splits(s, sf, "l_linenumber")), "splits")
+    ex_dates = materialize(d.dividends(s, sf, "l_linenumber"), "ex-dates")
+    return query_baskets(
+        bars, _basket_weights(s, sf), BarQuery("1week", adjust=True),
+        traded=manifest.held_rows(store.bars_log(s, root)),
+        splits=splits,
+        dividends=materialize(dividend_factors(ex_dates, bars), "dividends"),
+    )
+
+
+query(
+    "basket_adjusted_weeks",
+    _adjusted_basket_weeks,
+    "instrument_key window_start:s session_end_date:s open:5 high:5 low:5 close:5 candle_count",
+    with_tables(
+        sql.days("basket_bars", 7, True),
+        "dl",
+        "sfl",
+        "dfl",
+        extra={
+            "split_adjusted": sql.asof_factor("dl", "sfl", "execution_date"),
+            "adjusted": sql.asof_factor("split_adjusted", "dfl", "ex_dividend_date"),
+            **BASKET,
+            "combined": BASKET["combined"].replace("FROM dl", "FROM adjusted"),
+        },
+    ),
+)
 query(
     "yield_quotes",
     lambda s, sf: rates.yield_quotes(d.daily_bars(s, sf)),
